@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ def l2_norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(vector: Column) -> Column:
     """Unit length; the norm is floored so that a zero vector stays zero."""
     norm = F.greatest(l2_norm(vector), F.lit(NORM_FLOOR))
-    return F.transform(_as_doubles(vector), lambda x: x / norm)
+    return bind(norm, lambda n: F.transform(_as_doubles(vector), lambda x: x / n))
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -34,7 +41,10 @@ def cosine(left: Column, right: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Shifted by the maximum, so large logits do not overflow."""
-    top = F.array_max(logits)
-    powers = F.transform(_as_doubles(logits), lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = bind(F.array_max(_as_doubles(logits)), lambda top: F.transform(_as_doubles(logits), lambda x: F.exp(x - top)))
+    return bind(
+        powers,
+        lambda p: bind(
+            F.aggregate(p, F.lit(0.0), lambda total, x: total + x), lambda total: F.transform(p, lambda x: x / total)
+        ),
+    )
