@@ -327,9 +327,9 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
     """
     confusion = pair_confusion(pairs)
     report = pair_class_report(confusion).where(F.col("support") + F.col("predicted") > 0)
-    by_class = report.agg(
-        F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")
-    )
+    by_class = report.agg(F.struct(
+        F.avg("f1").alias("macro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted")
+    )).scalar()
     n, label, pred = F.col("n"), F.col("label"), F.col("predicted")
     count = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
     base = confusion.agg(
@@ -339,7 +339,7 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
     )
     return base.select(
         "n_pairs", ratio(F.col("hit"), F.col("n_pairs")).alias("accuracy"),
-        by_class.select("macro_f1").scalar().alias("macro_f1"), by_class.select("weighted_f1").scalar().alias("weighted_f1"),
+        by_class["macro"].alias("macro_f1"), by_class["weighted"].alias("weighted_f1"),
         ratio(F.col("tp"), F.col("p")).alias("presence_precision"), ratio(F.col("tp"), F.col("g")).alias("presence_recall"),
         ratio(2.0 * F.col("tp"), F.col("g") + F.col("p")).alias("presence_f1"),
         ratio(F.col("sentiment_hit"), F.col("g"), None).alias("sentiment_accuracy_on_gold_pairs"),
@@ -506,10 +506,12 @@ def evaluate_saved(df: DataFrame, classes: DataFrame | Sequence[str], gold_col:
 
 
 def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
-    """One-row tables next to each other."""
-    first, *others = parts
-    cells = [p.select(c).scalar().alias(c) for p in others for c in p.columns]
-    return first.select("*", *cells)
+    """One-row tables next to each other, joined on a constant."""
+    keyed = [p.withColumn("_one", F.lit(1)) for p in parts]
+    table = keyed[0]
+    for part in keyed[1:]:
+        table = table.join(part, "_one")
+    return table.drop("_one")
 
 
 def evaluate_code_lists(df: DataFrame, classes: Sequence[str], gold_col: str, pred_col: str = "predicted_codes") -> DataFrame:
