@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..settings import UNKNOWN
+from .binding import bind
 from .text import clean_text
 
 # Cyrillic capitals that look like Latin ones, and the Latin letters they mean.
@@ -83,44 +84,51 @@ def _empty_annotations() -> Column:
     return F.array().cast(_ANNOTATION_TYPE)
 
 
+def _read_pairs(items: Column, labels: Column) -> Column:
+    """``(code, sentiment, labelled)`` per item other than UNKNOWN: aligned with labels, or inline."""
+    pattern = r"^([^\n]+?)\s*[:=|]\s*([^:=|]+?)\s*$"
+
+    def entry(code: Column, label: Column, labelled: Column) -> Column:
+        sentiment = parse_sentiment(label).cast("int")
+        return F.struct(code.alias("code"), sentiment.alias("sentiment"), labelled.alias("labelled"))
+
+    known = drop_unknown(F.transform(items, normalize_code))
+    aligned = F.zip_with(known, labels, lambda code, label: entry(code, label, F.lit(True)))
+    inline = F.transform(
+        F.filter(items, lambda x: normalize_code(x) != UNKNOWN),
+        lambda x: entry(normalize_code(F.regexp_extract(x, pattern, 1)), F.regexp_extract(x, pattern, 2), x.rlike(pattern)),
+    )
+    return F.when(F.size(labels) > 0, aligned).otherwise(inline)
+
+
 def parse_annotations(codes: Column, sentiments: Column | None = None) -> Column:
     """One sentiment per code, from two aligned lists or from inline labels such as ``A1:2``.
 
     Returns ``struct(annotations, status)``; the status is ``ok`` or the first fault met.
     """
-    items = split_items(codes)
     labels = split_items(sentiments) if sentiments is not None else F.array().cast("array<string>")
-    known = drop_unknown(F.transform(items, normalize_code))
-    aligned = F.transform(
-        F.arrays_zip(known.alias("code"), labels.alias("label")),
-        lambda z: _pair(z["code"], parse_sentiment(z["label"])),
-    )
-    inline_pattern = r"^([^\n]+?)\s*[:=|]\s*([^:=|]+?)\s*$"
-    inline_items = F.filter(items, lambda x: normalize_code(x) != UNKNOWN)
-    inline = F.transform(
-        inline_items,
-        lambda x: _pair(
-            normalize_code(F.regexp_extract(x, inline_pattern, 1)),
-            parse_sentiment(F.regexp_extract(x, inline_pattern, 2)),
-        ),
-    )
-    use_aligned = F.size(labels) > 0
-    pairs = F.when(use_aligned, aligned).otherwise(inline)
-    unlabelled = F.size(known) == 0
-    first_bad = F.try_element_at(F.filter(inline_items, lambda x: parse_sentiment(
-        F.regexp_extract(x, inline_pattern, 2)).isNull()), F.lit(1))
-    unique = F.array_distinct(pairs)
-    status = (
-        F.when(unlabelled, "ok")
-        .when(use_aligned & (F.size(known) != F.size(labels)), "count_mismatch")
-        .when(~use_aligned & first_bad.isNotNull() & ~first_bad.rlike(inline_pattern), "missing_sentiment")
-        .when(F.exists(pairs, lambda p: p["sentiment"].isNull()), "bad_sentiment")
-        .when(F.exists(pairs, lambda p: p["code"] == ""), "empty_code")
-        .when(F.size(F.array_distinct(F.transform(unique, lambda p: p["code"]))) < F.size(unique), "conflict")
-        .otherwise("ok")
-    )
-    usable = ~unlabelled & (status == "ok")
-    return F.struct(F.when(usable, unique).otherwise(_empty_annotations()).alias("annotations"), status.alias("status"))
+
+    def judge(items: Column, labels: Column, n_known: Column, pairs: Column, unique: Column) -> Column:
+        first_fault = F.try_element_at(F.filter(pairs, lambda p: p["sentiment"].isNull()), F.lit(1))
+        n_codes = F.size(F.array_distinct(F.transform(unique, lambda p: p["code"])))
+        status = (
+            F.when(n_known == 0, "ok")
+            .when((F.size(labels) > 0) & (n_known != F.size(labels)), "count_mismatch")
+            .when(first_fault.isNotNull(), F.when(first_fault["labelled"], "bad_sentiment").otherwise("missing_sentiment"))
+            .when(F.exists(pairs, lambda p: p["code"] == ""), "empty_code")
+            .when(n_codes < F.size(unique), "conflict")
+            .otherwise("ok")
+        )
+        return bind(status, lambda st: F.struct(
+            F.when((n_known > 0) & (st == "ok"), F.transform(unique, lambda p: _pair(p["code"], p["sentiment"])))
+            .otherwise(_empty_annotations()).alias("annotations"),
+            st.alias("status"),
+        ))
+
+    return bind(split_items(codes), lambda items: bind(labels, lambda ls: bind(
+        F.size(drop_unknown(F.transform(items, normalize_code))), lambda n: bind(
+            _read_pairs(items, ls), lambda pairs: bind(
+                F.array_distinct(pairs), lambda unique: judge(items, ls, n, pairs, unique))))))
 
 
 def parse_code_sentiments(value: Column) -> Column:
@@ -129,16 +137,19 @@ def parse_code_sentiments(value: Column) -> Column:
     Returns ``struct(labels, status)`` with status ``ok`` or ``bad_label``.
     """
     pattern = r"^([^\n]+?)\s*[:=|]\s*([012])\s*$"
-    items = F.filter(split_items(value), lambda x: normalize_code(x) != UNKNOWN)
-    bad = F.exists(items, lambda x: ~x.rlike(pattern))
-    pairs = F.transform(
-        items,
-        lambda x: _pair(
-            normalize_code(F.regexp_extract(x, pattern, 1)), F.regexp_extract(x, pattern, 2).try_cast("int")
-        ),
-    )
-    labels = F.when(bad, _empty_annotations()).otherwise(F.array_distinct(pairs))
-    return F.struct(labels.alias("labels"), F.when(bad, "bad_label").otherwise("ok").alias("status"))
+
+    def read(items: Column) -> Column:
+        bad = F.exists(items, lambda x: ~x.rlike(pattern))
+        pairs = F.transform(
+            items,
+            lambda x: _pair(
+                normalize_code(F.regexp_extract(x, pattern, 1)), F.regexp_extract(x, pattern, 2).try_cast("int")
+            ),
+        )
+        labels = F.when(bad, _empty_annotations()).otherwise(F.array_distinct(pairs))
+        return F.struct(labels.alias("labels"), F.when(bad, "bad_label").otherwise("ok").alias("status"))
+
+    return bind(F.filter(split_items(value), lambda x: normalize_code(x) != UNKNOWN), read)
 
 
 def pair_text(pair: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 NORM_FLOOR = 1e-12
 
 
@@ -23,11 +23,6 @@ def l2_norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def l2_normalize(vector: Column) -> Column:
     """Unit length; the norm is floored so that a zero vector stays zero."""
     norm = F.greatest(l2_norm(vector), F.lit(NORM_FLOOR))

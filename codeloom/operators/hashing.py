@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 BUCKET_DIGITS = 3
 
 
@@ -94,13 +96,17 @@ def stratified_draw(total: Column, wanted: Column, seed: int, *keys: Column) ->
     The range is cut into ``wanted`` intervals and one number is taken by hash from each, so the
     numbers are distinct by construction and no rejection loop is needed.
     """
-    n = F.least(total, wanted)
-    step, rest = F.floor(total / n), total % n
 
-    def pick(t: Column) -> Column:
-        start = t * step + F.least(t, rest)
-        width = step + F.when(t < rest, 1).otherwise(0)
-        return start + hash_number(seed, *keys, t) % width
+    def draw(span: Column) -> Column:
+        total, n = span["total"], span["n"]
+        step, rest = F.floor(total / n), total % n
+
+        def pick(t: Column) -> Column:
+            start = t * step + F.least(t, rest)
+            width = step + F.when(t < rest, 1).otherwise(0)
+            return start + hash_number(seed, *keys, t) % width
+
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), pick)
 
-    drawn = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), pick)
-    return F.when(n > 0, drawn).otherwise(F.array().cast("array<bigint>"))
+    span = F.struct(total.cast("bigint").alias("total"), F.least(total, wanted).cast("bigint").alias("n"))
+    return F.when((total > 0) & (wanted > 0), bind(span, draw)).otherwise(F.array().cast("array<bigint>"))

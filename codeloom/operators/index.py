@@ -134,16 +134,16 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, keys: list[str], k:
     holds or emits all pairs. Exact; ties by ``cand_id``.
     """
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("bigint").alias(name))
 
     plan = blocks(queries, "_qn").join(blocks(candidates, "_cn"), keys)
     q = queries.join(plan, keys).select(
         *keys, "row_id", "vector", F.pmod(F.xxhash64("row_id"), F.col("_qn")).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.col("_cn") - 1)).cast("long").alias("_cb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cn") - 1)).alias("_cb"),
     )
     c = candidates.join(plan, keys).select(
         *keys, "cand_id", "vector", F.pmod(F.xxhash64("cand_id"), F.col("_cn")).alias("_cb"),
-        F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)).cast("long").alias("_qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qn") - 1)).alias("_qb"),
     )
     cell = [*keys, "_qb", "_cb"]
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *candidates.schema.fields]}
@@ -154,7 +154,8 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, keys: list[str], k:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
         right = right.sort_values("cand_id", kind="stable")
-        scores = _unit(left["vector"]) @ _unit(right["vector"]).T
+        # Rounded below the noise of a matrix product, so that equal vectors tie exactly.
+        scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, 12)
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows, ids = np.repeat(left["row_id"].to_numpy(), order.shape[1]), right["cand_id"].to_numpy()[order.ravel()]
         out = pd.DataFrame({"row_id": rows, "cand_id": ids, "score": np.take_along_axis(scores, order, axis=1).ravel()})
@@ -202,6 +203,7 @@ def top_centroids(df: DataFrame, centroids: DataFrame, top_k: int | None = None)
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             v = flat.reshape(batch.num_rows, m.shape[1])
             sims = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ m.T
+            sims = np.round(sims, 12)
             order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
             entries = pa.StructArray.from_arrays(
                 [pa.array(names[order.ravel()], pa.string()), pa.array(np.take_along_axis(sims, order, axis=1).ravel())],

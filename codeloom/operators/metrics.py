@@ -100,7 +100,7 @@ def _events(rows: DataFrame, top: Column, lrap: Column | None) -> DataFrame:
         F.array_union(gold, pred),
         lambda x: event(x, one_if(F.array_contains(both, x)), one_if(F.array_contains(gold, x)), one_if(F.array_contains(pred, x)), {}),
     )
-    return rows.select(F.explode(F.concat(F.array(per_row), per_label)).alias("e")).select("e.*")
+    return rows.select(F.explode_outer(F.concat(F.array(per_row), per_label)).alias("e")).select("e.*")
 
 
 def label_cells(rows: DataFrame, top: Column | None = None, lrap: Column | None = None) -> DataFrame:

@@ -12,16 +12,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..settings import MAX_LITERAL_CODES, collect_bounded
+from ..settings import MAX_LITERAL_CODES, collect_bounded, materialize
 from .hashing import hash_order, hash_rank, stratified_draw
 
 
-def text_occurrences(long: DataFrame) -> DataFrame:
-    """Distinct non-blank texts per code: ``(code, digest, first_row, responses)``."""
-    texts = long.select("row_id", "code", clean_text(F.col("text")).alias("text")).where(F.col("text") != "")
-    return (
-        texts.groupBy("code", F.md5("text").alias("digest"))
-        .agg(F.min("row_id").alias("first_row"), F.count_distinct("row_id").alias("responses"))
+def digest_table(long: DataFrame) -> DataFrame:
+    """``(row_id, code, digest)`` of the non-blank texts, written once: every later step reads this."""
+    clean = clean_text(F.col("text"))
+    rows = long.select("row_id", "code", F.when(clean != "", F.md5(clean)).alias("digest"))
+    return materialize(rows.where(F.col("digest").isNotNull()), "digests")
+
+
+def text_occurrences(digests: DataFrame) -> DataFrame:
+    """Distinct texts per code: ``(code, digest, first_row, responses)``."""
+    return digests.groupBy("code", "digest").agg(
+        F.min("row_id").alias("first_row"), F.count_distinct("row_id").alias("responses")
     )
 
 
@@ -40,7 +45,11 @@ def _texts_of(rows: DataFrame, long: DataFrame, columns: list[str]) -> DataFrame
     return rows
 
 
-def _drawn_pairs(long: DataFrame, min_class_size: int, max_pairs: int, seed: int) -> DataFrame:
+def _sizes(occurrences: DataFrame, min_class_size: int) -> DataFrame:
+    return occurrences.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= min_class_size)
+
+
+def _drawn_pairs(occurrences: DataFrame, min_class_size: int, max_pairs: int, seed: int) -> DataFrame:
     """``(code, t, row_a, row_b)``: all pairs of distinct texts of a code, or ``max_pairs`` of them.
 
     With texts numbered 0..n-1 in hash order, pair number ``p`` joins text ``p % n`` with the text
@@ -49,34 +58,27 @@ def _drawn_pairs(long: DataFrame, min_class_size: int, max_pairs: int, seed: int
     """
     if min_class_size < 2 or max_pairs < 1:
         raise ValueError("min_class_size must be at least 2 and max_pairs positive.")
-    occurrences = text_occurrences(long)
-    sizes = occurrences.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= min_class_size)
-    n_pairs = F.floor(F.col("n") * (F.col("n") - 1) / 2)
-    draws = sizes.select(
-        "code", "n", F.posexplode(stratified_draw(n_pairs, F.lit(max_pairs), seed, F.lit("pair"), F.col("code"))).alias("t", "p")
-    )
-    draws = draws.select(
-        "code", "t", (F.col("p") % F.col("n")).alias("ia"),
-        ((F.col("p") % F.col("n") + F.floor(F.col("p") / F.col("n")) + 1) % F.col("n")).alias("ib"),
-    )
-    eligible = occurrences.join(sizes.select("code"), "code", "left_semi")
-    ranked = hash_rank(eligible, ["code"], "digest").select("code", "rank", "first_row")
-    a = ranked.select("code", F.col("rank").alias("ia"), F.col("first_row").alias("_a"))
-    b = ranked.select("code", F.col("rank").alias("ib"), F.col("first_row").alias("_b"))
-    joined = draws.join(a, ["code", "ia"]).join(b, ["code", "ib"])
-    return joined.select("code", "t", F.least("_a", "_b").alias("row_a"), F.greatest("_a", "_b").alias("row_b"))
+    n, p = F.col("n"), F.col("p")
+    drawn = stratified_draw(F.floor(n * (n - 1) / 2), F.lit(max_pairs), seed, F.lit("pair"), F.col("code"))
+    draws = _sizes(occurrences, min_class_size).select("code", "n", F.posexplode_outer(drawn).alias("t", "p"))
+    ends = F.array((p % n), (p % n + F.floor(p / n) + 1) % n)
+    ends = draws.select("code", "t", F.explode_outer(ends).alias("rank"))
+    numbered = hash_rank(occurrences, ["code"], "digest").select("code", "rank", "first_row")
+    found = ends.join(numbered, ["code", "rank"])
+    return found.groupBy("code", "t").agg(F.min("first_row").alias("row_a"), F.max("first_row").alias("row_b"))
 
 
 def positive_pairs(long: DataFrame, min_class_size: int = 10, max_pairs: int = 5000, seed: int = 42) -> DataFrame:
     """Pairs of distinct texts with the same code, earlier text first."""
-    pairs = _texts_of(_drawn_pairs(long, min_class_size, max_pairs, seed), long, ["row_a", "row_b"])
+    occurrences = materialize(text_occurrences(digest_table(long)), "occurrences")
+    pairs = _texts_of(_drawn_pairs(occurrences, min_class_size, max_pairs, seed), long, ["row_a", "row_b"])
     return pairs.select(
         "code", "row_a", "row_b", F.col("row_a_text").alias("text_a"), F.col("row_b_text").alias("text_b"),
         F.lit(1.0).alias("label"), F.lit("positive").alias("sample_type"),
     )
 
 
-def negative_candidates(long: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+def negative_candidates(digests: DataFrame, occurrences: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """Distinct texts of responses without the code: ``(code, j, digest, row)``, j = 0, 1, ….
 
     ``targets`` has ``(code, wanted)``; about ``2 * wanted + 64`` candidates are returned per code,
@@ -85,14 +87,13 @@ def negative_candidates(long: DataFrame, targets: DataFrame, seed: int = 42) ->
     codes can own more than half; for those the complement is listed and numbered, which is less
     than the corpus each.
     """
-    clean = clean_text(F.col("text"))
-    rows = long.groupBy("row_id").agg(F.md5(F.first(clean)).alias("digest"), F.first(clean != "").alias("filled"))
-    texts = rows.where("filled").groupBy("digest").agg(F.count("*").alias("uses"), F.min("row_id").alias("row"))
+    uses = digests.groupBy("digest").agg(F.count_distinct("row_id").alias("uses"), F.min("row_id").alias("row"))
+    texts = materialize(uses, "texts")
     owned = (
-        text_occurrences(long).join(targets.select("code"), "code", "left_semi")
-        .join(texts.select("digest", "uses"), "digest")
+        occurrences.join(targets.select("code"), "code", "left_semi").join(texts.select("digest", "uses"), "digest")
         .where(F.col("responses") == F.col("uses")).select("code", "digest")
     )
+    owned = materialize(owned, "owned")
     n_texts = texts.agg(F.count("*").alias("n")).scalar()
     counted = owned.groupBy("code").agg(F.count("*").alias("n_owned"))
     sized = targets.join(counted, "code", "left").na.fill(0, ["n_owned"]).withColumn("n", n_texts)
@@ -102,7 +103,7 @@ def negative_candidates(long: DataFrame, targets: DataFrame, seed: int = 42) ->
         (r["code"], r["wanted"], r["code"] if r["code"] in heavy else "", r["n"] - (r["n_owned"] if r["code"] in heavy else 0))
         for r in plan
     ]
-    plan_table = long.sparkSession.createDataFrame(pool_of, "code string, wanted bigint, pool string, pool_size bigint")
+    plan_table = texts.sparkSession.createDataFrame(pool_of, "code string, wanted bigint, pool string, pool_size bigint")
     pools = texts.select(F.lit("").alias("pool"), "digest", "row")
     if heavy:
         spread = texts.select(F.explode(F.array(*[F.lit(c) for c in heavy])).alias("pool"), "digest", "row")
@@ -111,7 +112,9 @@ def negative_candidates(long: DataFrame, targets: DataFrame, seed: int = 42) ->
     numbered = hash_rank(pools, ["pool"], "digest", "g")
     drawn = plan_table.select(
         "code", "pool", "wanted",
-        F.explode(stratified_draw(F.col("pool_size"), 2 * F.col("wanted") + 64, seed, F.lit("negative"), F.col("code"))).alias("g"),
+        F.explode_outer(
+            stratified_draw(F.col("pool_size"), 2 * F.col("wanted") + 64, seed, F.lit("negative"), F.col("code"))
+        ).alias("g"),
     )
     found = drawn.join(numbered, ["pool", "g"]).join(owned, ["code", "digest"], "left_anti")
     order = W.partitionBy("code").orderBy(hash_order(seed, F.col("code"), F.col("digest")))  # drawn rows only
@@ -129,17 +132,18 @@ def contrastive_negatives(
     """
     if ratio < 0 or (cap is not None and cap < 1):
         raise ValueError("ratio must be non-negative and cap positive.")
-    occurrences = text_occurrences(long)
-    sizes = occurrences.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= min_class_size)
+    digests = digest_table(long)
+    occurrences = materialize(text_occurrences(digests), "occurrences")
+    sizes = _sizes(occurrences, min_class_size)
     positives = F.least(F.floor(F.col("n") * (F.col("n") - 1) / 2), F.lit(max_pairs))
     wanted = F.ceil(positives * F.lit(float(ratio))).cast("bigint")
     wanted = wanted if cap is None else F.least(wanted, F.lit(cap))
     targets = sizes.select("code", "n", wanted.alias("wanted")).where(F.col("wanted") > 0)
-    candidates = negative_candidates(long, targets.select("code", "wanted"), seed)
+    candidates = materialize(negative_candidates(digests, occurrences, targets.select("code", "wanted"), seed), "negatives")
     widths = candidates.groupBy("code").agg(F.count("*").alias("v"))
     cells = targets.join(widths, "code").select(
         "code", "n", "wanted",
-        F.explode(
+        F.explode_outer(
             stratified_draw(F.col("n") * F.col("v"), F.col("wanted") + F.col("v"), seed, F.lit("cell"), F.col("code"))
         ).alias("p"),
     ).select("code", "wanted", (F.col("p") % F.col("n")).alias("i"), F.floor(F.col("p") / F.col("n")).alias("j"))
@@ -159,9 +163,11 @@ def contrastive_negatives(
 
 def triplets(long: DataFrame, min_class_size: int = 10, max_triplets: int = 5000, seed: int = 42) -> DataFrame:
     """(anchor, positive, negative) per drawn pair; codes without any negative give none."""
-    pairs = _drawn_pairs(long, min_class_size, max_triplets, seed)
+    digests = digest_table(long)
+    occurrences = materialize(text_occurrences(digests), "occurrences")
+    pairs = materialize(_drawn_pairs(occurrences, min_class_size, max_triplets, seed), "pairs")
     targets = pairs.groupBy("code").agg(F.count("*").alias("wanted"))
-    candidates = negative_candidates(long, targets, seed)
+    candidates = materialize(negative_candidates(digests, occurrences, targets, seed), "negatives")
     widths = candidates.groupBy("code").agg(F.count("*").alias("v"))
     picked = pairs.join(widths, "code").withColumn("j", (F.col("t") % F.col("v")).cast("int"))
     rows = picked.join(candidates.select("code", "j", F.col("row").alias("row_n")), ["code", "j"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.codes import class_of_sentiment
 from ..settings import MAX_LITERAL_CODES, collect_bounded
 from .hashing import hash_order
@@ -38,21 +39,22 @@ def _selected_leaves(leaves: Column, positives: Column, ratio: float | None, see
     """The leaves to pair a response with. Everything happens inside the row: no shuffle at all."""
     if ratio is None:
         return leaves
-    negatives = F.filter(leaves, lambda x: ~F.array_contains(positives, x["code"]))
-    parents = F.transform(F.filter(leaves, lambda x: F.array_contains(positives, x["code"])), lambda x: x["parent_code"])
+    wanted = F.ceil(F.lit(float(ratio)) * F.greatest(F.size(positives), F.lit(1))).cast("int")
 
-    def shuffled(items: Column) -> Column:
+    def in_hash_order(items: Column) -> Column:
         keyed = F.transform(items, lambda x: F.struct(hash_order(seed, row_id, x["code"]).alias("h"), x.alias("leaf")))
         return F.transform(F.array_sort(keyed), lambda x: x["leaf"])
 
-    wanted = F.ceil(F.lit(float(ratio)) * F.greatest(F.size(positives), F.lit(1))).cast("int")
-    target = F.least(wanted, F.size(negatives))
-    order = shuffled(negatives)
-    hard = F.filter(order, lambda x: F.array_contains(parents, x["parent_code"]))
-    hard = F.slice(hard, F.lit(1), F.least(F.size(hard), F.ceil(target / 2).cast("int")))
-    rest = F.slice(F.array_except(order, hard), F.lit(1), target - F.size(hard))
-    kept = F.filter(leaves, lambda x: F.array_contains(positives, x["code"]))
-    return F.concat(kept, hard, rest)
+    def draw(kept: Column, order: Column, parents: Column, target: Column) -> Column:
+        related = F.filter(order, lambda x: F.array_contains(parents, x["parent_code"]))
+        hard = F.slice(related, F.lit(1), F.ceil(target / 2).cast("int"))
+        return bind(hard, lambda h: F.concat(kept, h, F.slice(F.array_except(order, h), F.lit(1), target - F.size(h))))
+
+    is_positive = lambda x: F.array_contains(positives, x["code"])
+    return bind(F.filter(leaves, is_positive), lambda kept: bind(
+        in_hash_order(F.filter(leaves, lambda x: ~is_positive(x))), lambda order: bind(
+            F.transform(kept, lambda x: x["parent_code"]), lambda parents: draw(
+                kept, order, parents, F.least(wanted, F.size(order))))))
 
 
 def build_pairs(
@@ -68,10 +70,14 @@ def build_pairs(
     if negative_ratio is not None and negative_ratio < 0:
         raise ValueError("negative_ratio must be non-negative or None.")
     leaves = literal_leaves(codebook)
-    positives = F.transform("annotations", lambda a: a["code"])
-    chosen = _selected_leaves(_leaf_array(leaves), positives, negative_ratio, seed, F.col("row_id"))
     labels = F.map_from_entries(F.transform("annotations", lambda a: F.struct(a["code"], a["sentiment"])))
-    pairs = responses.select("row_id", "text", "answer", "context", labels.alias("_labels"), F.explode(chosen).alias("leaf"))
+    chosen = bind(
+        F.transform("annotations", lambda a: a["code"]),
+        lambda codes: _selected_leaves(_leaf_array(leaves), codes, negative_ratio, seed, F.col("row_id")),
+    )
+    # The outer form (a codebook is never empty) keeps the planner from adding a filter on the array,
+    # which would evaluate the whole selection a second time.
+    pairs = responses.select("row_id", "text", "answer", "context", labels.alias("_labels"), F.explode_outer(chosen).alias("leaf"))
     sentiment = F.try_element_at("_labels", F.col("leaf.code"))
     names = F.array(*[F.struct(F.lit(x["name"]).alias("name"), F.lit(x["description"]).alias("description")) for x in leaves])
     info = F.element_at(names, F.col("leaf.position") + 1)

@@ -48,8 +48,12 @@ def usable_rows(df: DataFrame, keep_unlabelled: bool = False) -> DataFrame:
 
 
 def explode_codes(df: DataFrame) -> DataFrame:
-    """Long form: one row per (response, code) with the position of the code in its list."""
-    return df.select("*", F.posexplode("codes").alias("pos", "code"))
+    """Long form: one row per (response, code) with the position of the code in its list.
+
+    The outer form with a filter behind it parses the codes once; the inner one would let the
+    planner push a filter on the list below, and parse them again for it.
+    """
+    return df.select("*", F.posexplode_outer("codes").alias("pos", "code")).where(F.col("code").isNotNull())
 
 
 def rows_with_known_codes(df: DataFrame, codebook: DataFrame) -> DataFrame:
