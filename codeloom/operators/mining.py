@@ -7,6 +7,8 @@ identified by digest until the end, so text bodies move only for the rows that w
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,19 @@ def text_occurrences(digests: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class MiningTables:
+    """The two small tables all draws work on; share them between several draws on the same data."""
+
+    digests: DataFrame
+    occurrences: DataFrame
+
+
+def mining_tables(long: DataFrame) -> MiningTables:
+    digests = digest_table(long)
+    return MiningTables(digests, materialize(text_occurrences(digests), "occurrences"))
+
+
 def class_sizes(long: DataFrame, n: int | None = 20) -> DataFrame:
     """Distinct texts per code, largest first; the report shows the top ``n``."""
     sizes = long.groupBy("code").agg(F.count_distinct("text").alias("n_texts")).orderBy(F.desc("n_texts"), "code")
@@ -68,9 +83,11 @@ def _drawn_pairs(occurrences: DataFrame, min_class_size: int, max_pairs: int, se
     return found.groupBy("code", "t").agg(F.min("first_row").alias("row_a"), F.max("first_row").alias("row_b"))
 
 
-def positive_pairs(long: DataFrame, min_class_size: int = 10, max_pairs: int = 5000, seed: int = 42) -> DataFrame:
+def positive_pairs(
+    long: DataFrame, min_class_size: int = 10, max_pairs: int = 5000, seed: int = 42, prepared: MiningTables | None = None
+) -> DataFrame:
     """Pairs of distinct texts with the same code, earlier text first."""
-    occurrences = materialize(text_occurrences(digest_table(long)), "occurrences")
+    occurrences = (prepared or mining_tables(long)).occurrences
     pairs = _texts_of(_drawn_pairs(occurrences, min_class_size, max_pairs, seed), long, ["row_a", "row_b"])
     return pairs.select(
         "code", "row_a", "row_b", F.col("row_a_text").alias("text_a"), F.col("row_b_text").alias("text_b"),
@@ -122,7 +139,8 @@ def negative_candidates(digests: DataFrame, occurrences: DataFrame, targets: Dat
 
 
 def contrastive_negatives(
-    long: DataFrame, min_class_size: int = 10, max_pairs: int = 5000, ratio: float = 1.0, cap: int | None = None, seed: int = 42
+    long: DataFrame, min_class_size: int = 10, max_pairs: int = 5000, ratio: float = 1.0, cap: int | None = None, seed: int = 42,
+    prepared: MiningTables | None = None,
 ) -> DataFrame:
     """Pairs of a text with the code and a text without it, distinct and never the same text.
 
@@ -132,8 +150,8 @@ def contrastive_negatives(
     """
     if ratio < 0 or (cap is not None and cap < 1):
         raise ValueError("ratio must be non-negative and cap positive.")
-    digests = digest_table(long)
-    occurrences = materialize(text_occurrences(digests), "occurrences")
+    tables = prepared or mining_tables(long)
+    digests, occurrences = tables.digests, tables.occurrences
     sizes = _sizes(occurrences, min_class_size)
     positives = F.least(F.floor(F.col("n") * (F.col("n") - 1) / 2), F.lit(max_pairs))
     wanted = F.ceil(positives * F.lit(float(ratio))).cast("bigint")
@@ -161,10 +179,12 @@ def contrastive_negatives(
     )
 
 
-def triplets(long: DataFrame, min_class_size: int = 10, max_triplets: int = 5000, seed: int = 42) -> DataFrame:
+def triplets(
+    long: DataFrame, min_class_size: int = 10, max_triplets: int = 5000, seed: int = 42, prepared: MiningTables | None = None
+) -> DataFrame:
     """(anchor, positive, negative) per drawn pair; codes without any negative give none."""
-    digests = digest_table(long)
-    occurrences = materialize(text_occurrences(digests), "occurrences")
+    tables = prepared or mining_tables(long)
+    digests, occurrences = tables.digests, tables.occurrences
     pairs = materialize(_drawn_pairs(occurrences, min_class_size, max_triplets, seed), "pairs")
     targets = pairs.groupBy("code").agg(F.count("*").alias("wanted"))
     candidates = materialize(negative_candidates(digests, occurrences, targets, seed), "negatives")

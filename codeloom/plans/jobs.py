@@ -15,7 +15,7 @@ from ..operators.codebook import assignable_codes, enrich, unknown_codes
 from ..operators.decode import ENCODER_RULES, LINEAR_RULES, PAIR_RULES, DecodeRules, gather_pair_scores, gather_scores, prediction_columns, prediction_report
 from ..operators.index import EmbeddingIndex, Encoder, build_index, classify_by_index, encode
 from ..operators.linear import TextModel, fit_text_model, score_texts
-from ..operators.mining import class_sizes, contrastive_negatives, positive_pairs, triplets
+from ..operators.mining import class_sizes, contrastive_negatives, mining_tables, positive_pairs, triplets
 from ..operators.pairs import build_pairs, class_weights, pair_distribution
 from ..operators.responses import attach, explode_codes, parse_responses, require_columns, require_rows, usable_rows
 from ..operators.scorers import MultilabelModel, PairModel, rescore, score_multilabel
@@ -170,17 +170,18 @@ def prepare_training_tables(
     )
     split = ensure_train_coverage(split_train_val_test(rows, seed=seed))
     split = split.withColumn("sentiments", F.transform("annotations", lambda a: a["sentiment"]))
-    split = ensure_train_coverage(split, "sentiments").drop("sentiments")
+    split = materialize(ensure_train_coverage(split, "sentiments").drop("sentiments"), "split-annotated")
     train = split.where(F.col("split") == "train")
     pairs = build_pairs(split, codebook, negative_ratio, seed).join(split.select("row_id", "split"), "row_id")
     long = explode_codes(train.select("row_id", "text", "codes"))
+    prepared = mining_tables(long)
     tables = {
         "pairs": pairs,
         "class_weights": class_weights(pairs.where(F.col("split") == "train")),
         "pair_distribution": pair_distribution(pairs),
-        "positive_pairs": positive_pairs(long, min_class_size, max_pairs, seed),
-        "negative_pairs": contrastive_negatives(long, min_class_size, max_pairs, seed=seed),
-        "triplets": triplets(long, min_class_size, max_pairs, seed),
+        "positive_pairs": positive_pairs(long, min_class_size, max_pairs, seed, prepared),
+        "negative_pairs": contrastive_negatives(long, min_class_size, max_pairs, seed=seed, prepared=prepared),
+        "triplets": triplets(long, min_class_size, max_pairs, seed, prepared),
         "class_sizes": class_sizes(long),
     }
     if out:

@@ -287,13 +287,16 @@ def _owned(spark: SparkSession, sf_dir: str, held: DataFrame) -> DataFrame:
 
 @query
 def training_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the tables for an external trainer that do not depend on a draw."""
+    """Row counts of the tables for an external trainer."""
     rows = views.annotated(spark, sf_dir).where((F.col("status") == "ok") & (F.col("answer") != ""))
     made = jobs.prepare_training_tables(rows.drop("status"), views.codebook(spark), None, 3.0, 42)
-    split_pairs = made["pair_distribution"].select(
-        F.concat_ws(":", F.lit("pairs"), "split", F.col("label").cast("string")).alias("table_name"), F.col("n_pairs").alias("n")
+    counts = made["pair_distribution"].where(F.col("n_pairs") > 0).select(
+        F.lit("pairs").alias("table_name"), F.concat_ws(":", "split", F.col("label").cast("string")).alias("part"), F.col("n_pairs").alias("n")
     )
-    return split_pairs.where(F.col("table_name").like("pairs:%:0") == F.lit(False))
+    for name in ("positive_pairs", "negative_pairs", "triplets"):
+        per_code = made[name].groupBy("code").agg(F.count("*").alias("n"))
+        counts = counts.unionByName(per_code.select(F.lit(name).alias("table_name"), F.col("code").alias("part"), "n"))
+    return counts
 
 
 # ---- index -----------------------------------------------------------------------------------
