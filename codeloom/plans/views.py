@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import code_description, parse_annotations, split_codes
 from ..operators.responses import parse_responses, usable_rows
+from ..sources.tables import spread
 
 # (order, code, name, parent_code, parent_name)
 CODEBOOK = [
@@ -118,7 +119,7 @@ def classes(spark: SparkSession) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESPONSES_SQL, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    return spark.sql(RESPONSES_SQL, documents=spread(table(spark, sf_dir, "documents")), labels=table(spark, sf_dir, "labels"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,4 +175,4 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_id"), "text")
