@@ -14,7 +14,7 @@ from ..operators import metrics as mx
 from ..operators.codebook import assignable_codes, enrich, unknown_codes
 from ..operators.decode import ENCODER_RULES, LINEAR_RULES, PAIR_RULES, DecodeRules, gather_pair_scores, gather_scores, prediction_columns, prediction_report
 from ..operators.index import EmbeddingIndex, Encoder, build_index, classify_by_index, encode
-from ..operators.linear import TextModel, fit_text_model, score_texts
+from ..operators.linear import TextModel, cut_and_fit, score_texts
 from ..operators.mining import class_sizes, contrastive_negatives, mining_tables, positive_pairs, triplets
 from ..operators.pairs import build_pairs, class_weights, pair_distribution
 from ..operators.responses import attach, explode_codes, parse_responses, require_columns, require_rows, usable_rows
@@ -42,8 +42,10 @@ def train_text_model(
     split = ensure_train_coverage(split_train_val_test(rows, val, test, seed))
     split = materialize(split, "split-responses")
     train = split.where(F.col("split") == "train")
-    model = fit_text_model(train, min_df, word_features, char_features, C, max_iter)
-    scores = materialize(score_texts(model, split), "split-scores")
+    model, features = cut_and_fit(
+        split, train, min_df=min_df, word_features=word_features, char_features=char_features, C=C, max_iter=max_iter
+    )
+    scores = materialize(score_texts(model, split, features), "split-scores")
     gold = split.select("row_id", "split", F.col("codes").alias("gold"))
     val_gold = gold.where(F.col("split") == "val")
     threshold = mx.threshold_search(scores.join(val_gold, "row_id", "left_semi"), val_gold, model.classes, metric, max_labels)

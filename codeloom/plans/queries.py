@@ -594,21 +594,21 @@ def multi_hot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.multi_hot(views.labelled(spark, sf_dir), views.classes(spark).where(F.col("code") != "A1"))
 
 
-def _text_model(spark: SparkSession, sf_dir: str) -> tuple[linear.TextModel, DataFrame]:
-    rows = materialize(views.labelled(spark, sf_dir).select("row_id", F.col("answer").alias("text"), "codes"), "rows")
-    return linear.fit_text_model(rows, word_features=5_000, char_features=8_000, max_iter=30), rows
+def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(views.labelled(spark, sf_dir).select("row_id", F.col("answer").alias("text"), "codes"), "rows")
 
 
 @query
 def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, rows = _text_model(spark, sf_dir)
-    return _rounded(linear.score_texts(model, rows), 4)
+    rows = _labelled_texts(spark, sf_dir)
+    model, features = linear.cut_and_fit(rows, word_features=5_000, char_features=8_000, max_iter=30)
+    return _rounded(linear.score_texts(model, rows, features), 4)
 
 
 @query
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature and class counts of a fitted model that was stored and loaded."""
-    model, _ = _text_model(spark, sf_dir)
+    model = linear.fit_text_model(_labelled_texts(spark, sf_dir), word_features=5_000, char_features=8_000, max_iter=30)
     loaded = stores.load_text_model(spark, stores.save_text_model(model, fresh_path(spark, "model")))
     return linear.model_summary(loaded).drop("n_weights")
 
