@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..settings import materialize
+
 # A token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -103,6 +105,7 @@ def vocabulary(
     limits = {"word": word_features, "char": char_features}
     if all(v is None for v in limits.values()):
         return counted
+    counted = materialize(counted, "counted-terms")  # read three times below
     limit = F.when(F.col("space") == "word", F.lit(limits["word"])).otherwise(F.lit(limits["char"]))
     histogram = counted.groupBy("space", "cf").agg(F.count("*").alias("n_terms"))
     above = F.coalesce(

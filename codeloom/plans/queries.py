@@ -584,7 +584,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = views.texts(spark, sf_dir)
-    terms = ft.text_terms(texts)
+    terms = materialize(ft.text_terms(texts), "terms")
     vocab = ft.with_idf(ft.vocabulary(terms, 2, 5_000, 8_000), texts.agg(F.count("*")).scalar())
     return _rounded(ft.tfidf(terms, vocab), 5)
 
