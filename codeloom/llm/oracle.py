@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from codeloom.llm import licenses
 
-WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
 def _license_sql() -> str:
@@ -65,9 +66,21 @@ DECONTAMINATION_SQL = f"""
       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
 
+NGRAM_JOIN_SQL = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM pairs JOIN n AS p ON x = p.doc_id JOIN n AS q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _license_sql(),
     "op7_exact_dedup": DEDUP_SQL,
+    "op8_ngram_jaccard": NGRAM_JOIN_SQL,
     "op9_warc": WARC_SQL,
     "op10_decontaminate": DECONTAMINATION_SQL,
 }

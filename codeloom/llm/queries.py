@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, exact_dedup, licenses, warc
+from codeloom.llm import decontaminate, exact_dedup, licenses, ngram_join, warc
 from codeloom.settings import fresh_path
 
 
@@ -23,6 +23,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -35,5 +39,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op7_exact_dedup, op9_warc, op10_decontaminate)
+    f.__name__: f for f in (op2_license_scan, op7_exact_dedup, op8_ngram_jaccard, op9_warc, op10_decontaminate)
 }
