@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, exact_dedup, licenses, ngram_join, quality, toxicity, warc
+from codeloom.llm import decontaminate, exact_dedup, licenses, ngram_join, pieces, quality, token_counts, toxicity, warc
 from codeloom.settings import fresh_path
 
 
@@ -19,10 +20,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "lossless", "ids")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,5 +57,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op4_quality, op6_toxicity, op7_exact_dedup, op8_ngram_jaccard, op9_warc, op10_decontaminate)
+    f.__name__: f for f in (op2_license_scan, op3_sentencepiece, op4_quality, op5_token_counts, op6_toxicity, op7_exact_dedup, op8_ngram_jaccard, op9_warc, op10_decontaminate)
 }
