@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, exact_dedup, licenses, ngram_join, pieces, quality, token_counts, toxicity, warc
+from codeloom.llm import decontaminate, exact_dedup, licenses, ngram_join, pieces, quality, substring_dedup, token_counts, toxicity, warc
 from codeloom.settings import fresh_path
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     return licenses.license_scan(_table(spark, sf_dir, "documents")).select(*columns)
@@ -57,5 +61,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_sentencepiece, op4_quality, op5_token_counts, op6_toxicity, op7_exact_dedup, op8_ngram_jaccard, op9_warc, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_license_scan, op3_sentencepiece, op4_quality, op5_token_counts, op6_toxicity, op7_exact_dedup,
+        op8_ngram_jaccard, op9_warc, op10_decontaminate,
+    )
 }
