@@ -241,3 +241,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     done = members.join(by_set, ["set_a", "set_b", "n"], "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, and those without an id, with their own columns."""
+    found = similar_documents(docs, id_col, text_col, n, percent)
+    dropped = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")
