@@ -18,6 +18,8 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 WORD_FEATURES = 100_000
 CHAR_FEATURES = 150_000
+# A vocabulary of more terms is not sent to the tasks whole (a term is an n-gram of a few dozen bytes).
+MAX_SENT_TERMS = 500_000
 
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
@@ -61,7 +63,11 @@ def char_wb_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def word_terms(df: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    """Tokens are cut once per row; the bigrams pair each token with the next one."""
+    """Tokens are cut once per row; the bigrams pair each token with the next one.
+
+    Texts are dealt out by row first: the counts of a row are then made where the row is, and no term is shuffled.
+    """
+    df = df.select("row_id", "text").repartition("row_id")
     if (low, high) != (1, 2):
         exploded = df.select("row_id", F.explode(word_ngrams(F.col("text"), low, high)).alias("term"))
     else:
@@ -75,8 +81,8 @@ def word_terms(df: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
 
 
 def char_terms(df: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
-    """Words are counted per row first; n-grams are then cut once per distinct word, with its count."""
-    words = df.select("row_id", F.explode(_padded_words(F.col("text"))).alias("word")).groupBy("row_id", "word").agg(
+    """Words are counted per row first; n-grams are then cut once per distinct word, with its count. As for words, only texts move."""
+    words = df.select("row_id", "text").repartition("row_id").select("row_id", F.explode(_padded_words(F.col("text"))).alias("word")).groupBy("row_id", "word").agg(
         F.count("*").alias("n")
     )
     grams = words.select("row_id", "n", F.explode(_word_char_grams(F.col("word"), low, high)).alias("term"))
@@ -124,7 +130,7 @@ def vocabulary(
 def with_index(vocab: DataFrame, n_docs: Column) -> DataFrame:
     """Adds ``idx`` (words first, then characters, by term) and ``idf``.
 
-    One task numbers the terms: the feature limits bound the vocabulary.
+    One task numbers the terms, so the vocabulary must have been limited.
     """
     idx = F.row_number().over(W.orderBy(F.desc("space"), "term")) - 1
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
@@ -135,9 +141,16 @@ def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
     return vocab.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
+def _met(terms: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
+    """Terms of the vocabulary. The usual vocabulary is bounded by the feature limits and sent to the tasks, so that a term of all
+    texts is no hot key; a larger one is joined by shuffle."""
+    known = vocab.select("space", "term", *columns)
+    return terms.join(F.broadcast(known) if known.count() <= MAX_SENT_TERMS else known, ["space", "term"])
+
+
 def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(row_id, space, term, weight)``: (1 + ln tf) · idf, unit length per row and space."""
-    raw = terms.join(vocab.select("space", "term", "idf"), ["space", "term"])
+    raw = _met(terms, vocab, ["idf"])
     raw = raw.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("row_id", "space")))  # one row's terms
     return raw.select("row_id", "space", "term", (F.col("_w") / norm).alias("weight"))
@@ -148,7 +161,7 @@ def text_features(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
     ``vocab`` has ``idx`` and ``idf``. Terms meet the vocabulary once and are gathered by row once.
     """
-    raw = terms.join(vocab.select("space", "term", "idx", "idf"), ["space", "term"])
+    raw = _met(terms, vocab, ["idx", "idf"])
     weight = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     entries = raw.select("row_id", F.struct(F.col("idx"), weight.alias("w")).alias("e"), (F.col("space") == "word").alias("_is_word"))
     square = F.col("e.w") * F.col("e.w")

@@ -46,7 +46,7 @@ def encode(df: DataFrame, col: str, encoder: Encoder | None = None, batch_size:
     Without one, texts become hashed character n-gram counts, in SQL functions only.
     """
     if batch_size < 1:
-        raise ValueError("batch_size must be positive.")
+        raise ValueError("A batch needs at least one text.")
     if encoder is None:
         return _hashed_embedding(df, col, prefix, dim)
     texts = df.withColumn("_input", with_prefix(F.col(col), prefix))

@@ -490,7 +490,7 @@ def check_labels(df: DataFrame, column: str) -> None:
     """Fails with the column and source line if any label of the column does not parse."""
     bad = df.where(parse_code_sentiments(F.col(column))["status"] != "ok").select("row_id").limit(1).collect()
     if bad:
-        raise ValueError(f"Invalid code/sentiment labels in column {column!r} at source row {bad[0]['row_id'] + 2}.")
+        raise ValueError(f"Column {column!r} has a cell that is no list of code and sentiment, first on line {bad[0]['row_id'] + 2}.")
 
 
 def evaluate_saved(df: DataFrame, classes: DataFrame | Sequence[str], gold_col: str, pred_col: str) -> DataFrame:

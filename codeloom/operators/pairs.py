@@ -18,7 +18,7 @@ def literal_leaves(codebook: DataFrame) -> list:
     cols = ["order", "code", "name", "description", "parent_code", "parent_name"]
     rows = collect_bounded(codebook.where(~F.col("is_parent")).select(*cols), MAX_LITERAL_CODES, "The codebook")
     if not rows:
-        raise ValueError("Codebook has no leaf subcategories.")
+        raise ValueError("No code can be paired: every row of the codebook is a parent.")
     return sorted(rows, key=lambda r: (r["order"], r["code"]))
 
 
@@ -68,7 +68,7 @@ def build_pairs(
     Selection works on codes alone; names and descriptions come from a size-checked literal.
     """
     if negative_ratio is not None and negative_ratio < 0:
-        raise ValueError("negative_ratio must be non-negative or None.")
+        raise ValueError("The share of negatives cannot be below zero.")
     leaves = literal_leaves(codebook)
     labels = F.map_from_entries(F.transform("annotations", lambda a: F.struct(a["code"], a["sentiment"])))
     chosen = bind(

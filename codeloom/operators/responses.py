@@ -90,7 +90,7 @@ def usable_annotated(parsed: DataFrame, strict: bool = False) -> DataFrame:
         fault = parsed.where((F.col("answer") != "") & ~F.col("status").isin("ok", "conflict"))
         first = fault.select("row_id", "status").limit(1).collect()
         if first:
-            raise ValueError(f"Invalid annotations at source row {first[0]['row_id'] + 2}: {first[0]['status']}")
+            raise ValueError(f"Line {first[0]['row_id'] + 2} cannot be used: its annotation is {first[0]['status']}.")
     kept = parsed.where((F.col("answer") != "") & (F.col("status") == "ok"))
     return kept.withColumn("codes", F.transform("annotations", lambda a: a["code"]))
 

@@ -110,7 +110,7 @@ BLOCKS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "vocab": (
         "terms AS (SELECT * FROM wterms UNION ALL SELECT * FROM cterms), counted AS (SELECT space, term, count(*) AS df, sum(tf) AS cf FROM terms GROUP BY ALL HAVING count(*) >= 2), "
-        "vocab AS (SELECT space, term, df, cf FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY cf DESC, term) AS rn FROM counted) WHERE rn <= CASE space WHEN 'word' THEN 5000 ELSE 8000 END)",
+        "vocab AS (SELECT space, term, df, cf FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY cf DESC, term) AS rn FROM counted) WHERE rn <= CASE space WHEN 'word' THEN 100000 ELSE 150000 END)",
         ("wterms", "cterms"),
     ),
 }
@@ -220,8 +220,9 @@ def replies_blocks() -> str:
         "q3 AS (SELECT *, CASE WHEN llm_error = '' AND j <> '' AND json_valid(j) AND starts_with(j, '{') THEN json_extract(j, '$.labels') END AS labels FROM q2), "
         "q4 AS (SELECT row_id, unnest(CASE WHEN json_type(labels) = 'ARRAY' THEN json_extract(labels, '$[*]') ELSE [] END) AS x, generate_subscripts(CASE WHEN json_type(labels) = 'ARRAY' THEN json_extract(labels, '$[*]') ELSE [] END, 1) AS i FROM q3), "
         f"q5 AS (SELECT row_id, i, json_type(x) = 'OBJECT' AS obj, json_extract_string(x, '$') AS whole, {code} AS code, json_extract_string(x, '$.sentiment') AS st FROM q4), "
-        f"q6 AS (SELECT *, CASE WHEN NOT obj THEN whole WHEN NOT list_contains({CODE_LIST}, code) THEN nullif(code, '') WHEN NOT regexp_full_match(coalesce(trim(st), ''), '[012]') THEN code || ':' || coalesce(st, 'null') END AS invalid, obj AND list_contains({CODE_LIST}, code) AND regexp_full_match(coalesce(trim(st), ''), '[012]') AS ok FROM q5), "
-        "q7 AS (SELECT row_id, code, trim(st)::INT AS s, min(i) AS i FROM q6 WHERE ok GROUP BY ALL), "
+        f"q5s AS (SELECT *, coalesce({strip('st')}, '') AS ss FROM q5), "
+        f"q6 AS (SELECT *, CASE WHEN NOT obj THEN whole WHEN NOT list_contains({CODE_LIST}, code) THEN nullif(code, '') WHEN NOT regexp_full_match(ss, '[012]') THEN code || ':' || coalesce(st, 'null') END AS invalid, obj AND list_contains({CODE_LIST}, code) AND regexp_full_match(ss, '[012]') AS ok FROM q5s), "
+        "q7 AS (SELECT row_id, code, ss::INT AS s, min(i) AS i FROM q6 WHERE ok GROUP BY ALL), "
         "q8 AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY i) AS rn, count(*) OVER (PARTITION BY row_id) AS n FROM q7), "
         "labs AS (SELECT row_id, code, s, rn FROM q8 WHERE rn <= 4), "
         "inv AS (SELECT row_id, i, invalid FROM q6 WHERE invalid IS NOT NULL UNION ALL SELECT DISTINCT row_id, 999999, 'too_many_labels' FROM q8 WHERE n > 4)"
@@ -445,6 +446,11 @@ def oracle_sql() -> dict[str, str]:
     sql["vocabulary"] = build("SELECT space, term, df, cf::BIGINT AS cf FROM vocab", "vocab")
     sql["tfidf_weights"] = build(
         "SELECT row_id, space, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id, space)), 5) + 0.0::DOUBLE AS weight FROM (SELECT t.row_id, t.space, t.term, (1 + ln(tf::DOUBLE)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS w FROM terms t JOIN vocab v USING (space, term))", "vocab")
+    labelled = ", ".join(BLOCKS[n][0] for n in ("wterms", "cterms", "vocab")).replace("doc_id AS row_id", "row_id").replace("lower(text)", "lower(answer)").replace("FROM documents", "FROM wide")
+    sql["model_summary"] = build(
+        "SELECT count(*) AS n_features, count(*) FILTER (space = 'word') AS n_word_features, count(*) FILTER (space = 'char') AS n_char_features, (SELECT count(DISTINCT code) FROM long)::INT AS n_classes FROM vocab",
+        "long", extra=labelled)
+    sql["linear_optimality"] = build("SELECT DISTINCT code, true AS at_optimum FROM long", "long")
     sql["multi_hot_labels"] = build("SELECT row_id, code, 1 AS label FROM long WHERE code <> 'A1'", "long")
     # projection
     sql["minmax_scaled"] = f"SELECT doc_id, n_chars, {r6('960::DOUBLE + (n_chars - min(n_chars) OVER ()) * (-920)::DOUBLE / (max(n_chars) OVER () - min(n_chars) OVER ())')} AS y FROM documents"

@@ -578,14 +578,14 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.vocabulary(ft.text_terms(views.texts(spark, sf_dir)), 2, 5_000, 8_000)
+    return ft.vocabulary(ft.text_terms(views.texts(spark, sf_dir)))
 
 
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = views.texts(spark, sf_dir)
     terms = materialize(ft.text_terms(texts), "terms")
-    vocab = ft.with_idf(ft.vocabulary(terms, 2, 5_000, 8_000), texts.agg(F.count("*")).scalar())
+    vocab = ft.with_idf(ft.vocabulary(terms), texts.agg(F.count("*")).scalar())
     return _rounded(ft.tfidf(terms, vocab), 5)
 
 
@@ -601,18 +601,26 @@ def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled_texts(spark, sf_dir)
-    model, features = linear.cut_and_fit(rows, word_features=5_000, char_features=8_000, max_iter=30)
+    model, features = linear.cut_and_fit(rows)
     return _rounded(linear.score_texts(model, rows, features), 4)
 
 
 @query
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature and class counts of a fitted model that was stored and loaded."""
-    model = linear.fit_text_model(_labelled_texts(spark, sf_dir), word_features=5_000, char_features=8_000, max_iter=30)
+    model = linear.fit_text_model(_labelled_texts(spark, sf_dir))
     loaded = stores.load_text_model(spark, stores.save_text_model(model, fresh_path(spark, "model")))
     return linear.model_summary(loaded).drop("n_weights")
 
 
+@query
+def linear_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the gradient of the training loss vanishes at the fitted weights of each code, computed anew from the tables."""
+    rows = _labelled_texts(spark, sf_dir)
+    model, features = linear.cut_and_fit(rows)
+    return linear.optimality(model, features, rows)
+
+
 # ---- projection ------------------------------------------------------------------------------
 
 

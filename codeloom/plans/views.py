@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import code_description, parse_annotations, split_codes
 from ..operators.responses import parse_responses, usable_rows
-from ..sources.tables import spread
 
 # (order, code, name, parent_code, parent_name)
 CODEBOOK = [
@@ -78,13 +77,16 @@ SELECT row_id, text, gold,
     WHEN 8 THEN '{{"labels":[]}}'
     WHEN 9 THEN '[' || one || ']'
     WHEN 10 THEN '{{"codes":[]}}'
+    WHEN 12 THEN '{{"labels":"[' || replace(one, '"', chr(92) || '"') || ']"}}'
+    WHEN 13 THEN '{{"labels":["' || replace(one, '"', chr(92) || '"') || '",' || two || ']}}'
+    WHEN 14 THEN '{{"labels":[{{"code":"A2","sentiment":"' || chr(92) || 't1"}},' || two || ']}}'
     ELSE '{{"labels":"none"}}' END AS raw_response,
   CASE WHEN kind = 11 THEN 'TimeoutError: no reply' ELSE '' END AS llm_error,
   CAST((length(text) % 97) + kind AS DOUBLE) / 16 AS latency_seconds,
   CAST(length(text) AS BIGINT) AS prompt_tokens,
   CAST(kind * 3 AS BIGINT) AS completion_tokens
 FROM (
-  SELECT conv_id * 1000 + turn AS row_id, text, (conv_id * 7 + turn * 5 + length(text)) % 12 AS kind,
+  SELECT conv_id * 1000 + turn AS row_id, text, (conv_id * 7 + turn * 5 + length(text)) % 15 AS kind,
     '{{"code":"' || substr('A1A2A3A4B1B2B3B4C1C2', CAST(1 + 2 * (length(text) % 10) AS INT), 2) || '","sentiment":' || CAST(turn % 3 AS STRING) || '}}' AS one,
     '{{"code":"' || substr('A1A2A3A4B1B2B3B4C1C2', CAST(1 + 2 * ((length(text) + turn) % 10) AS INT), 2) || '","sentiment":"' || CAST((turn + 1) % 3 AS STRING) || '"}}' AS two,
     substr('A1A2A3A4B1B2B3B4C1C2', CAST(1 + 2 * (length(text) % 10) AS INT), 2) || ':' || CAST(turn % 3 AS STRING)
@@ -119,7 +121,7 @@ def classes(spark: SparkSession) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESPONSES_SQL, documents=spread(table(spark, sf_dir, "documents")), labels=table(spark, sf_dir, "labels"))
+    return spark.sql(RESPONSES_SQL, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +177,4 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")

@@ -20,7 +20,7 @@ def score_stream(
     file_filter: str = "*.parquet",
     max_files: int | None = None,
 ) -> int:
-    """Scores files not seen before and appends the results; returns the number of micro-batches.
+    """Scores files not seen before and appends the results; returns the number of micro-batches so far.
 
     ``scorer`` works row by row, so the stream keeps no state and needs no watermark. The
     checkpoint records finished files: a restarted run continues behind the last finished batch
@@ -35,4 +35,6 @@ def score_stream(
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
+    # Progress reports are kept for the last batches only, but each tells its number; batches count from 0 over all runs.
+    last = query.lastProgress
+    return int(last["batchId"]) + 1 if last else 0

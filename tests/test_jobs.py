@@ -6,10 +6,15 @@ from codeloom.plans import jobs
 from codeloom.sources import stores
 
 
+TOPICS = {
+    "A1": "salary wage income", "A2": "bonus premium reward", "B1": "office desk window",
+}
+FRAMES = ["the {} should change soon", "nobody talks about the {} here", "I asked twice for a better {}", "our {} got worse this year", "thanks for the {}"]
+
+
 def responses(spark):
-    texts = {"A1": ["salary is low", "more salary please", "pay and salary"], "A2": ["bonus late", "no bonus", "bonus again"],
-             "B1": ["office is cold", "new office chairs", "office noise"]}
-    rows = [(t, c) for c, ts in texts.items() for t in ts for _ in range(5)] + [("salary and office", "A1, B1")]
+    rows = [(frame.format(word), code) for code, words in TOPICS.items() for word in words.split() for frame in FRAMES]
+    rows.append(("a wage that pays for a desk by the window", "A1, B1"))
     return spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(rows)], "row_id bigint, answer string, codes string")
 
 

@@ -106,6 +106,9 @@ REPLIES = [
     ('{"labels":[{"code":"A1","sentiment":4},{"code":"A1","sentiment":true}]}', [], ["A1:4", "A1:true"], True),
     ('{"labels":[{"code":"B1","sentiment":1},{"code":"B1","sentiment":2}]}', ["B1:1", "B1:2"], [], False),
     ('{"labels":[]}', [], [], True),
+    ('{"labels":"[{\\"code\\":\\"A1\\",\\"sentiment\\":1}]"}', [], [], True),
+    ('{"labels":["{\\"code\\":\\"A1\\",\\"sentiment\\":1}"]}', [], ['{"code":"A1","sentiment":1}'], True),
+    ('{"labels":[{"code":"A1","sentiment":"\\t1"},{"code":"A1","sentiment":1.0}]}', ["A1:1"], ["A1:1.0"], True),
     ("[1]", [], [], True),
     ("nothing", [], [], True),
 ]

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_file
+from codeloom.plans import oracle
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["events", "documents", "embeddings", "benchmark", "labels", "conversations", "part"]
-SQL = entry_file.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
