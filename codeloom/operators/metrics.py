@@ -325,7 +325,10 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
 
     Macro and weighted F1 run over the classes that occur in gold or prediction.
     """
-    confusion = pair_confusion(pairs)
+    return pair_metrics_of(pair_confusion(pairs))
+
+
+def pair_metrics_of(confusion: DataFrame) -> DataFrame:
     report = pair_class_report(confusion).where(F.col("support") + F.col("predicted") > 0)
     by_class = report.agg(F.struct(
         F.avg("f1").alias("macro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted")

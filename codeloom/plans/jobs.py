@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codes import split_codes
+from ..functions.codes import parse_code_sentiments, split_codes
 from ..functions.text import clean_text, combine_text
 from ..operators import annotation as ann
 from ..operators import metrics as mx
@@ -21,7 +22,7 @@ from ..operators.responses import attach, explode_codes, parse_responses, requir
 from ..operators.scorers import MultilabelModel, PairModel, rescore, score_multilabel
 from ..operators.splits import ensure_train_coverage, in_split, label_distribution, split_summary, split_train_val_test, stratum_of_annotations, stratum_of_codes
 from ..settings import fresh_path, materialize
-from ..sources.stores import save_index, save_splits, save_text_model, write_reports
+from ..sources.stores import report_paths, save_index, save_splits, save_text_model, write_config, write_reports
 from ..sources.tables import write_table
 
 
@@ -118,14 +119,59 @@ def classify_with_scorer(
 def classify_with_pair_model(
     df: DataFrame, model: PairModel, codebook: DataFrame, text_col: str, context_col: str | None = None, prefix: str | None = None,
     threshold: float = 0.5, max_labels: int = 6, top_k: int = 5, margin: float = 0.05, batch_size: int = 64, out: str | None = None,
+    gold_codes_col: str | None = None, gold_sentiments_col: str | None = None,
 ) -> DataFrame:
-    """Code and sentiment of each leaf of the active codebook, from a pair model."""
+    """Code and sentiment of each leaf of the active codebook, from a pair model.
+
+    With ``out`` and gold columns the predictions are evaluated: statistics, a report per code, one per model class, and the
+    rows that differ are written beside them. Rows with conflicting gold are counted and left out; other faults are errors.
+    """
     texts = _source_with_text(df, text_col, context_col, prefix).withColumn("context", F.lit(""))
+    leaves = assignable_codes(codebook)
+    gold = _pair_gold(df, gold_codes_col, gold_sentiments_col, leaves) if out and gold_codes_col else None
     probs = rescore(texts, codebook, model, batch_size)
+    if gold is not None:
+        probs = materialize(probs, "pair-probabilities")
     predictions = prediction_columns(
         gather_pair_scores(probs), codebook, threshold, max_labels, top_k, margin, PAIR_RULES, with_sentiments=True
     )
-    return _finish(df, predictions, assignable_codes(codebook), None, out)
+    stored = _finish(df, predictions, leaves, None, out)
+    if gold is not None:
+        _evaluate_pairs(stored, probs, gold, leaves, out)
+    return stored
+
+
+def _pair_gold(df: DataFrame, codes_col: str, sentiments_col: str | None, leaves: list[str]) -> DataFrame:
+    """``row_id, gold_pairs, valid``; fails on the first row whose gold is faulty but not conflicting."""
+    require_columns(df, [c for c in (codes_col, sentiments_col) if c])
+    sentiments = F.col(sentiments_col) if sentiments_col else None
+    marked = mx.gold_targets(df, F.col(codes_col), sentiments, leaves).select("row_id", "gold_pairs", "status", "valid")
+    faulty = marked.where(~F.col("status").isin("ok", "conflict")).limit(1).collect()
+    if faulty:
+        raise ValueError(f"Gold of line {faulty[0]['row_id'] + 2} cannot be used: {faulty[0]['status']}.")
+    return marked.select("row_id", "gold_pairs", "valid")
+
+
+def _evaluate_pairs(stored: DataFrame, probs: DataFrame, gold: DataFrame, leaves: list[str], out: str) -> None:
+    predicted = stored.withColumn("pred_pairs", parse_code_sentiments(F.col("predicted_code_sentiments"))["labels"])
+    valid = gold.where("valid")
+    rows = materialize(valid.select("row_id", "gold_pairs").join(predicted, "row_id"), "pair-rows")
+    label = F.aggregate(
+        "gold_pairs", F.lit(0), lambda found, p: F.when(p["code"] == F.col("code"), p["sentiment"] + 1).otherwise(found)
+    )
+    cells = probs.join(valid.select("row_id", "gold_pairs"), "row_id").select(label.alias("label"), "probs")
+    confusion = materialize(mx.pair_confusion(cells), "pair-confusion")
+    counts = gold.agg(
+        F.count("*").alias("input_rows"), F.count_if("valid").alias("evaluated_rows"), F.count_if(~F.col("valid")).alias("skipped_conflicts"),
+        F.lit(len(leaves)).alias("n_leaf_codes"),
+    )
+    named = mx.pair_metrics_of(confusion)
+    named = named.select(*(F.col(c).alias(f"pair_{c}") for c in named.columns))
+    codes = mx.overall_metrics(mx.presence_rows(rows), leaves).drop("n_rows")
+    joint = mx.joint_metrics(rows, leaves).drop("n_rows")
+    stats = mx.side_by_side([counts, codes, joint, mx.sentiment_accuracy(rows, leaves, single=True), named])
+    errors = mx.error_rows(rows, "gold_pairs", "pred_pairs").drop("gold_pairs", "pred_pairs")
+    write_reports(out, stats, mx.joint_report(rows, leaves), errors, mx.pair_class_report(confusion))
 
 
 def classify_with_index(
@@ -197,14 +243,19 @@ def annotate(
     gold_col: str | None = None, max_labels: int = 6, max_retries: int = 2, partitions: int | None = None, concurrency: int = 8,
     wall_seconds: float = 0.0, out: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Requests, replies, parsed labels and run statistics. Gold labels are checked before any request."""
+    """Requests, replies, parsed labels and run statistics. Gold labels are checked before any request.
+
+    ``wall_seconds`` is for callers that know the time of the requests; otherwise it is measured here.
+    """
     require_columns(df, [c for c in ("row_id", text_col, context_col, gold_col) if c])
     if gold_col:
         mx.check_labels(df, gold_col)
     codes = assignable_codes(codebook, fallback_to_all=True)
     requests = ann.build_requests(df, codebook, text_col, context_col, prefix, max_labels)
     # Replies are written before anything reads them, so no request is sent twice.
+    began = time.perf_counter()
     replies = materialize(ann.fan_out(requests, client, max_retries, partitions, concurrency), "replies")
+    wall_seconds = wall_seconds or time.perf_counter() - began
     columns = ann.annotation_columns(ann.parse_replies(replies, codes, max_labels), codebook)
     target = out or fresh_path(df.sparkSession, "annotated")
     result = attach(df, columns)
@@ -224,11 +275,21 @@ def annotate(
 
 def evaluate_saved_job(
     spark: SparkSession, path: str, codebook: DataFrame, gold_col: str, pred_col: str = "predicted_code_sentiments",
-    existing: dict | None = None, fmt: str = "parquet",
+    existing: dict | None = None, fmt: str = "parquet", out: str | None = None,
 ) -> tuple[dict, DataFrame]:
-    """Metrics of a stored prediction table, merged over earlier statistics."""
+    """Metrics of a stored prediction table, merged over earlier statistics.
+
+    With ``out``, the name of a prediction table, the merged statistics, the report per code and the rows that differ are
+    written under its report names and replace what is there.
+    """
     stored = spark.read.format(fmt).load(path)
     codes = assignable_codes(codebook, fallback_to_all=True)
     quality = mx.evaluate_saved(stored, codes, gold_col, pred_col)
     rows = mx.saved_pair_rows(stored, codes, gold_col, pred_col)
-    return mx.merge_statistics(existing or {}, quality.first().asDict()), mx.joint_report(rows, codes)
+    merged, report = mx.merge_statistics(existing or {}, quality.first().asDict()), mx.joint_report(rows, codes)
+    if out:
+        paths = report_paths(out)
+        write_config(spark, merged, paths["stats"])
+        write_table(report, paths["per_class"], "csv")
+        write_table(mx.error_rows(rows, "gold_pairs", "pred_pairs").drop("gold_pairs", "pred_pairs"), paths["errors"], "csv")
+    return merged, report

@@ -1,6 +1,10 @@
+import json
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import annotation as ann
 from codeloom.operators import index
 from codeloom.plans import jobs
 from codeloom.sources import stores
@@ -51,6 +55,31 @@ def test_pair_model_and_annotation(spark, small_codebook):
     assert stats.first()["joint_micro_f1"] == 1.0
 
 
+def test_pair_model_against_gold(spark, small_codebook, tmp_path):
+    model = lambda texts, descriptions: np.array([[0.1, 0.1, 0.7, 0.1] if "Salary" in d else [0.9, 0.05, 0.03, 0.02] for d in descriptions])
+    rows = [(0, "wage", "A1", "1"), (1, "pay", "A1", "2"), (2, "desk", "A1, B1", "1, 0"), (3, "odd", "A1, A1", "1, 2"), (4, "none", None, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, answer string, gold string, feeling string")
+    out = str(tmp_path / "p.parquet")
+    jobs.classify_with_pair_model(df, model, small_codebook, "answer", out=out, gold_codes_col="gold", gold_sentiments_col="feeling")
+    stats = spark.read.json(str(tmp_path / "p_stats.json")).first()
+    assert (stats.input_rows, stats.evaluated_rows, stats.skipped_conflicts, stats.n_leaf_codes) == (5, 4, 1, 3)
+    # Predicted is A1:1 everywhere: two hits of four, and four gold pairs.
+    assert stats.joint_micro_precision == stats.joint_micro_recall == 0.5
+    assert stats.pair_n_pairs == 12 and stats.pair_accuracy == 9 / 12
+    by_class = {r.class_name: r for r in spark.read.csv(str(tmp_path / "p_pair_per_class.csv"), header=True, inferSchema=True).collect()}
+    assert [by_class[c].support for c in ("absent", "neutral", "positive", "negative")] == [8, 1, 2, 1]
+    assert sorted(r.row_id for r in spark.read.csv(str(tmp_path / "p_errors.csv"), header=True, inferSchema=True).collect()) == [1, 2, 4]
+    assert spark.read.csv(str(tmp_path / "p_per_class.csv"), header=True).count() == 3
+    with pytest.raises(ValueError, match="line 2"):
+        jobs.classify_with_pair_model(df.withColumn("gold", F.lit("ZZ")), model, small_codebook, "answer", out=out, gold_codes_col="gold", gold_sentiments_col="feeling")
+
+
+def test_reply_schema():
+    schema = json.loads(ann.reply_schema(["A1"], 2))
+    labels = schema["properties"]["labels"]
+    assert labels["maxItems"] == 2 and labels["items"]["properties"]["code"]["enum"] == ["A1"]
+
+
 def test_empty_nearest(spark):
     empty = spark.createDataFrame([], "row_id bigint, code string")
     assert index.nearest_examples(empty, empty, empty, 0).count() == 0
