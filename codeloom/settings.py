@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -79,6 +80,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs.
+
+    Spark deletes them when the driver's garbage collector meets their handles, which may be long after a job with many steps
+    has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a dimension-sized table; refuses to pull more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
