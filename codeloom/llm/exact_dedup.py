@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.settings import materialize
+from codeloom.settings import materialize, release_shuffles
 
 SALTS = 64
 #: Characters that do not count for equality: [\x20\x09-\x0D]
@@ -65,6 +65,7 @@ def _combine(base: DataFrame, salts: int, digest) -> DataFrame | None:
         .select("digest", "best", "group_size"),
         "dedup-winners",
     )
+    release_shuffles(base.sparkSession)
     if not winners.groupBy("digest").count().filter("count > 1").isEmpty():
         return None
     winners = winners.select("digest", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.fewer")).alias("most"))
