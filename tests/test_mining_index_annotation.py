@@ -71,7 +71,7 @@ def test_vocabulary_limit_with_ties(spark):
 
 
 def test_text_model_learns(spark):
-    base = {"A1": ["salary is low", "more salary please", "pay and salary"], "B1": ["office is cold", "new office chairs", "office noise"]}
+    base = {"A1": ["wage too small", "raise my wage", "wage paid late"], "B1": ["desk by a window", "broken desk lamp", "shared desk"]}
     rows = [(f"{t} {k}", [c]) for c, ts in base.items() for t in ts for k in range(4)]
     df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(rows)], "row_id bigint, text string, codes array<string>")
     model = linear.fit_text_model(df, max_iter=20)
