@@ -48,6 +48,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the multiplier, and their inverses."""
+    if n <= len(_POWERS):
+        return _POWERS[:n], _INVERSES[:n]
+    return _powers(_MULTIPLIER, n), _powers(_INVERSE, n)
+
+
 _POWERS = _powers(_MULTIPLIER, _BLOCK + 1)
 _INVERSES = _powers(_INVERSE, _BLOCK + 1)
 

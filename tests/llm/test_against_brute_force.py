@@ -208,3 +208,36 @@ def test_pipeline_stages_against_single_operators(spark, tmp_path):
             want = before
             assert docs.filter("NOT lossless").isEmpty()
         assert ids == sorted(r.doc_id for r in want.select("doc_id").collect())
+
+
+def _fresh(tag, n):
+    return [f"{tag}{k}" for k in range(n)]
+
+
+def test_exact_repeats_where_the_first_document_has_only_a_part(spark):
+    """The smallest and the largest id of the lists hold a quotation; two documents between them share the whole passage."""
+    rows, want = [], {}
+    for case in range(40):
+        base, shared = 10 * case, _fresh(f"s{case}x", 60)
+        rows += [
+            (base, " ".join(_fresh(f"a{case}x", 40) + shared[:40] + _fresh(f"b{case}x", 40))),
+            (base + 1, " ".join(_fresh(f"c{case}x", 30) + shared + _fresh(f"d{case}x", 70))),
+            (base + 2, " ".join(_fresh(f"e{case}x", 55) + shared + _fresh(f"f{case}x", 20))),
+            (base + 3, " ".join(_fresh(f"g{case}x", 40) + shared[20:] + _fresh(f"h{case}x", 40))),
+        ]
+        want |= {base: ([], base), base + 1: ([(30, 90)], base + 1), base + 2: ([(55, 115)], base + 1), base + 3: ([], base + 3)}
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: ([(s.low, s.high) for s in r.spans], r.class_id) for r in got} == want
+
+
+def test_the_first_document_keeps_what_it_shares_with_a_middle_one(spark):
+    rows, want = [], {}
+    for case in range(30):
+        base, shared = 10 * case, _fresh(f"s{case}x", 90)
+        rows += [
+            (base, shared), (base + 1, _fresh(f"a{case}x", 20) + shared),
+            (base + 2, _fresh(f"b{case}x", 20) + shared[:44] + _fresh(f"c{case}x", 40) + shared[48:] + _fresh(f"d{case}x", 20)),
+        ]
+        want |= {base: [(0, 90)], base + 1: [(20, 110)], base + 2: []}
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: [(s.low, s.high) for s in r.spans] for r in got} == want
