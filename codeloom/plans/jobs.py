@@ -50,7 +50,7 @@ def train_text_model(
     gold = split.select("row_id", "split", F.col("codes").alias("gold"))
     val_gold = gold.where(F.col("split") == "val")
     threshold = mx.threshold_search(scores.join(val_gold, "row_id", "left_semi"), val_gold, model.classes, metric, max_labels)
-    model = replace(model, threshold=threshold, max_labels=max_labels, config={"C": C, "min_df": min_df, "seed": seed})
+    model = replace(model, threshold=threshold, max_labels=max_labels, config={**model.config, "C": C, "min_df": min_df, "seed": seed})
     classes = rows.sparkSession.createDataFrame([(c,) for c in model.classes], "code string")
     reports: dict[str, DataFrame] = {"label_distribution": label_distribution(split, classes, codebook), "splits": split}
     for name in ("train", "val", "test"):
