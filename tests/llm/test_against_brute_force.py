@@ -241,3 +241,14 @@ def test_the_first_document_keeps_what_it_shares_with_a_middle_one(spark):
         want |= {base: [(0, 90)], base + 1: [(20, 110)], base + 2: []}
     got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
     assert {r.doc_id: [(s.low, s.high) for s in r.spans] for r in got} == want
+
+
+def test_exact_repeats_where_the_first_document_has_a_part_earlier(spark):
+    """The smallest id holds most of the passage once more before it; the other document still keeps all of the passage."""
+    rows = []
+    for case in range(40):
+        shared = _fresh(f"s{case}x", 60)
+        rows += [(2 * case, _fresh(f"a{case}x", 20) + shared[:45] + _fresh(f"b{case}x", 60) + shared), (2 * case + 1, _fresh(f"c{case}x", 30) + shared + _fresh(f"d{case}x", 30))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    spans = {r.doc_id: [(s.low, s.high) for s in r.spans] for r in got}
+    assert all(any(lo <= 125 and hi >= 185 for lo, hi in spans[2 * case]) and spans[2 * case + 1] == [(30, 90)] for case in range(40))
