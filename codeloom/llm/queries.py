@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, exact_dedup, licenses, ngram_join, pieces, quality, substring_dedup, token_counts, toxicity, warc
+from codeloom.llm import decontaminate, exact_dedup, hard_negatives, licenses, ngram_join, pieces, quality, resampling, substring_dedup, token_counts, toxicity, url_filters, warc
 from codeloom.settings import fresh_path
 
 
@@ -60,10 +60,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_license_scan, op3_sentencepiece, op4_quality, op5_token_counts, op6_toxicity, op7_exact_dedup,
-        op8_ngram_jaccard, op9_warc, op10_decontaminate,
+        op8_ngram_jaccard, op9_warc, op10_decontaminate, op11_hard_negatives, op12_resampling, op13_url_filters,
     )
 }
