@@ -1,20 +1,24 @@
-"""Batch annotation by a chat model: requests, fan-out through a user's client, reply parsing."""
+"""Batch annotation by a chat model: requests, fan-out through a user's client, a ledger of replies, reply parsing."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from typing import Any
+from contextlib import contextmanager
+from typing import Any, NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_code, or_unknown, pair_text, parse_code_sentiments
 from ..functions.text import clean_text, combine_text, join_labels
+from ..settings import fresh_path, materialize
+from ..sources.ledger import REPLY_COLUMNS, Ledger
 from .codebook import assignable_codes, render_codebook
 from .decode import name_accepted, parent_rollup, sentiment_columns
 
@@ -64,7 +68,7 @@ def user_prompt(answer: Column) -> Column:
 
 
 def reply_schema(codes: list[str], max_labels: int = 6) -> str:
-    """The JSON Schema of a reply, for model servers that can enforce one; a client gets it from its caller."""
+    """The JSON Schema of a reply, for model servers that can enforce one."""
     if max_labels < 1:
         raise ValueError("A reply needs room for at least one label.")
     # The field names of a reply and the keywords of JSON Schema.
@@ -74,27 +78,46 @@ def reply_schema(codes: list[str], max_labels: int = 6) -> str:
     return json.dumps({"type": "object", "properties": labels, "required": ["labels"], "additionalProperties": False}, ensure_ascii=False)
 
 
-def build_requests(
-    df: DataFrame, codebook: DataFrame, text_col: str, context_col: str | None = None, prefix: str | None = None, max_labels: int = 6
-) -> DataFrame:
-    """``(row_id, filled, system_prompt, user_prompt)``; ``filled`` is false for blank answers."""
+class Instructions(NamedTuple):
+    """What all requests of a run share. It goes to the tasks with the function and not with the rows."""
+
+    system: str
+    codes: list[str]
+    max_labels: int
+    schema: str
+
+    @property
+    def digest(self) -> str:
+        return hashlib.md5(f"{self.system}\n{self.schema}".encode()).hexdigest()
+
+
+def instructions(codebook: DataFrame, max_labels: int = 6) -> Instructions:
+    """The system prompt, the codes that a reply may name, and the schema that says the same."""
     codes = assignable_codes(codebook, fallback_to_all=True)
     text = render_codebook(codebook).collect()[0]["rendered"]
+    return Instructions(system_prompt(text, codes, max_labels), codes, max_labels, reply_schema(codes, max_labels))
+
+
+def build_requests(df: DataFrame, shared: Instructions, text_col: str, context_col: str | None = None, prefix: str | None = None) -> DataFrame:
+    """``(row_id, request_key, filled, user_prompt)``; ``filled`` is false for blank answers.
+
+    The key is a hash of the instructions and of the row's own prompt.
+    """
     context = F.col(context_col) if context_col else None
-    return df.select(
-        "row_id", (clean_text(F.col(text_col)) != "").alias("filled"),
-        F.lit(system_prompt(text, codes, max_labels)).alias("system_prompt"),
-        user_prompt(combine_text(F.col(text_col), context, prefix)).alias("user_prompt"),
-    )
+    prompt = user_prompt(combine_text(F.col(text_col), context, prefix))
+    rows = df.select("row_id", (clean_text(F.col(text_col)) != "").alias("filled"), prompt.alias("user_prompt"))
+    key = F.sha2(F.concat(F.lit(shared.digest), "user_prompt").cast("binary"), 256)
+    return rows.select("row_id", key.alias("request_key"), "filled", "user_prompt")
 
 
 # ---- fan-out ---------------------------------------------------------------------------------
 
-# A client takes (system prompt, user prompt) and returns a dict with "content" and, where known,
-# "prompt_tokens" and "completion_tokens".
-Client = Callable[[str, str], dict[str, Any]]
+# A client takes (system prompt, user prompt), and the JSON Schema of a reply if the run asks for structured output. It returns a
+# dict with "content" and, where known, "prompt_tokens" and "completion_tokens".
+Client = Callable[..., dict[str, Any]]
 
-RAW_COLUMNS = "raw_response string, llm_error string, attempts int, latency_seconds double, prompt_tokens bigint, completion_tokens bigint"
+#: Requests of one slice of the ledger: what a broken run may have to ask again.
+SLICE_ROWS = 20_000
 
 
 _FENCE = re.compile(r"^\s*```(?:json)?|```\s*$")
@@ -112,7 +135,7 @@ def has_labels(content: str) -> bool:
     return False
 
 
-def _ask(client: Client, system: str, user: str, max_retries: int, pause: Callable[[float], None]) -> dict[str, Any]:
+def _ask(client: Client, sent: tuple, max_retries: int, pause: Callable[[float], None]) -> dict[str, Any]:
     """Sends one request, again after a failure, and describes the outcome as a row; it never raises."""
     row = {"raw_response": "", "llm_error": "", "attempts": 0, "prompt_tokens": 0, "completion_tokens": 0}
     began = time.perf_counter()
@@ -120,7 +143,7 @@ def _ask(client: Client, system: str, user: str, max_retries: int, pause: Callab
         row["attempts"] += 1
         final = row["attempts"] > max_retries
         try:
-            reply = client(system, user)
+            reply = client(*sent)
             if has_labels(reply.get("content") or ""):
                 counts = {name: int(reply.get(name) or 0) for name in ("prompt_tokens", "completion_tokens")}
                 row |= {"raw_response": reply["content"], "llm_error": "", **counts}
@@ -136,32 +159,72 @@ def _ask(client: Client, system: str, user: str, max_retries: int, pause: Callab
 
 
 def fan_out(
-    requests: DataFrame, client: Client, max_retries: int = 2, partitions: int | None = None, concurrency: int = 8
+    requests: DataFrame, client: Client, shared: Instructions, max_retries: int = 2, partitions: int | None = None, concurrency: int = 8,
+    structured_output: bool = False,
 ) -> DataFrame:
-    """Sends each filled request; blank ones become ``empty_text`` rows without a request.
+    """One reply for each of ``requests`` (row_id, request_key, user_prompt), whatever the client does.
 
-    Requests in flight: ``partitions`` tasks × ``concurrency`` threads. Rows are spread evenly
-    first, because the cost is per request. Write the result before using it twice: evaluating it
-    again would ask again.
+    Requests in flight: ``partitions`` tasks × ``concurrency`` threads. Rows are spread evenly first, because the cost is per request.
+    Evaluating the result again would ask again; ``ask_rest`` keeps replies.
     """
     if concurrency < 1 or max_retries < 0:
         raise ValueError("concurrency must be positive and max_retries non-negative.")
     row_type = requests.schema["row_id"].dataType.simpleString()
-    filled = requests.where("filled").select("row_id", "system_prompt", "user_prompt")
-    filled = filled.repartition(partitions, "row_id") if partitions else filled
-
-    names = ["row_id", *[c.split()[0] for c in RAW_COLUMNS.split(", ")]]
+    asked = requests.select("row_id", "request_key", "user_prompt")
+    asked = asked.repartition(partitions, "row_id") if partitions else asked
+    names = ["row_id", "request_key", *[c.split()[0] for c in REPLY_COLUMNS.split(", ")]]
+    schema = (shared.schema,) if structured_output else ()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                ask = lambda s, u: _ask(client, s, u, max_retries, time.sleep)
-                replies = list(pool.map(ask, batch["system_prompt"], batch["user_prompt"]))
+                ask = lambda user: _ask(client, (shared.system, user, *schema), max_retries, time.sleep)
+                replies = list(pool.map(ask, batch["user_prompt"]))
                 if replies:
-                    yield pd.DataFrame(replies, index=batch.index).assign(row_id=batch["row_id"])[names]
+                    yield pd.DataFrame(replies, index=batch.index).assign(row_id=batch["row_id"], request_key=batch["request_key"])[names]
+
+    return asked.mapInPandas(run, f"row_id {row_type}, request_key string, {REPLY_COLUMNS}")
+
 
-    answered = filled.mapInPandas(run, f"row_id {row_type}, {RAW_COLUMNS}")
-    return answered.unionByName(empty_rows(requests.where(~F.col("filled"))))
+def ask_rest(
+    requests: DataFrame, client: Client, shared: Instructions, ledger: Ledger, slice_rows: int = SLICE_ROWS, retry_failed: bool = True,
+    on_slice: Callable[[int, int], None] | None = None, **options: Any,
+) -> int:
+    """Asks the filled requests that the ledger does not hold, slice by slice; returns how many slices were asked.
+
+    Each slice is committed before the next one begins, so a run that breaks asks again at most the slice it was in. ``on_slice`` is told
+    the number of slices done and of all slices; an exception of it ends the run after that slice.
+    """
+    if slice_rows < 1:
+        raise ValueError("slice_rows must be positive.")
+    todo = materialize(ledger.pending(requests.where("filled"), retry_failed).drop("filled"), "pending")
+    n_slices = -(-todo.count() // slice_rows)
+    if not n_slices:
+        return 0
+    # Slices are dealt out by key and stored apart, so that each reads its own rows only.
+    numbered = todo.withColumn("slice", F.pmod(F.xxhash64("request_key", "row_id"), F.lit(n_slices)).cast("int"))
+    path = materialize_slices(numbered, n_slices)
+    run, done = ledger.next_run(), 0
+    for number in (r["slice"] for r in numbered.select("slice").distinct().sort("slice").toLocalIterator()):
+        part = todo.sparkSession.read.schema(todo.schema).parquet(f"{path}/slice={number}")
+        ledger.commit(fan_out(part, client, shared, **options), f"run-{run}-slice-{number}", run)
+        done += 1
+        if on_slice:
+            on_slice(done, n_slices)
+    return done
+
+
+def materialize_slices(numbered: DataFrame, n_slices: int) -> str:
+    """Writes a table by its column ``slice`` and returns the folder."""
+    path = fresh_path(numbered.sparkSession, "slices")
+    numbered.repartition(min(n_slices, 1_000), "slice").write.partitionBy("slice").parquet(path)
+    return path
+
+
+def collect_replies(requests: DataFrame, ledger: Ledger) -> DataFrame:
+    """The reply to each request from the ledger; ``empty_text`` rows for blank answers."""
+    replies = ledger.latest().drop("run").join(requests.where("filled").select("row_id", "request_key"), ["row_id", "request_key"], "left_semi")
+    return replies.drop("request_key").unionByName(empty_rows(requests.where(~F.col("filled"))))
 
 
 def empty_rows(df: DataFrame) -> DataFrame:
@@ -172,13 +235,16 @@ def empty_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def split_empty(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with an answer, and rows without one."""
-    filled = clean_text(F.col(text_col)) != ""
-    return df.where(filled), df.where(~filled)
+# ---- replies ---------------------------------------------------------------------------------
 
 
-# ---- replies ---------------------------------------------------------------------------------
+def _single_json(text: Column) -> Column:
+    """The value of a text that is one JSON value and nothing else; null for any other text.
+
+    Spark's parser reads one value and does not look at what follows, so the text is read as the only item of a list.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
 def _json_text(raw: Column) -> Column:
@@ -186,9 +252,19 @@ def _json_text(raw: Column) -> Column:
     text = clean_text(raw)
     inner = clean_text(F.regexp_replace(text, r"^```(json)?", ""))
     unfenced = F.when(text.startswith("```"), clean_text(F.regexp_replace(inner, r"```$", ""))).otherwise(text)
-    cut = F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
-    # get_json_object returns null for text that is not JSON.
-    return F.when(F.get_json_object(unfenced, "$").isNotNull(), unfenced).otherwise(cut)
+    return F.when(_single_json(unfenced).isNotNull(), unfenced).otherwise(F.regexp_extract(unfenced, r"(?s)\{.*\}", 0))
+
+
+@contextmanager
+def _repeated_keys(spark: SparkSession) -> Iterator[None]:
+    """Inside the block JSON with a repeated key is read, and the last one counts; the setting is taken into the plan that is built."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def parse_replies(df: DataFrame, codes: list[str], max_labels: int = 6) -> DataFrame:
@@ -200,11 +276,12 @@ def parse_replies(df: DataFrame, codes: list[str], max_labels: int = 6) -> DataF
     if max_labels < 1:
         raise ValueError("max_labels must be positive.")
     # Types come from the parsed value, texts from the JSON itself: a number keeps the digits it was written with.
-    body = df.withColumn("_json", _json_text(F.col("raw_response"))).withColumn("_value", F.try_parse_json("_json"))
-    body = body.withColumn("_labels", F.try_variant_get("_value", "$.labels", "variant"))
+    with _repeated_keys(df.sparkSession):
+        body = df.withColumn("_json", _json_text(F.col("raw_response"))).withColumn("_value", _single_json(F.col("_json")))
+        body = body.withColumn("_labels", F.try_variant_get("_value", "$.labels", "variant"))
     is_object = F.schema_of_variant("_value").startswith("OBJECT")
     is_list = F.schema_of_variant("_labels").startswith("ARRAY")
-    items = F.from_json(F.when(is_list, F.get_json_object("_json", "$.labels")), "array<string>")
+    items = F.from_json(F.when(is_list, F.from_json("_json", "struct<labels:string>")["labels"]), "array<string>")
     types = F.transform(
         F.try_variant_get("_labels", "$", "array<variant>"),
         lambda v: F.struct(
@@ -228,8 +305,8 @@ def parse_replies(df: DataFrame, codes: list[str], max_labels: int = 6) -> DataF
     def entry(item: Column) -> Column:
         raw, kind = item["text"], item["type"]
         known_object = kind["item"].startswith("OBJECT")
-        code = normalize_code(F.get_json_object(raw, "$.code"))
-        sentiment = F.get_json_object(raw, "$.sentiment")
+        fields = F.from_json(raw, "struct<code:string,sentiment:string>")
+        code, sentiment = normalize_code(fields["code"]), fields["sentiment"]
         stripped = clean_text(sentiment)
         typed = (kind["sentiment"] == "BIGINT") | (kind["sentiment"] == "STRING")
         value = F.when(typed & stripped.rlike("^[012]$"), stripped.try_cast("int"))

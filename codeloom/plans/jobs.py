@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from ..operators.responses import attach, explode_codes, parse_responses, requir
 from ..operators.scorers import MultilabelModel, PairModel, rescore, score_multilabel
 from ..operators.splits import ensure_train_coverage, in_split, label_distribution, split_summary, split_train_val_test, stratum_of_annotations, stratum_of_codes
 from ..settings import fresh_path, materialize
+from ..sources.ledger import Ledger
 from ..sources.stores import report_paths, save_index, save_splits, save_text_model, write_config, write_reports
 from ..sources.tables import write_table
 
@@ -241,26 +243,34 @@ def prepare_training_tables(
 def annotate(
     df: DataFrame, codebook: DataFrame, client: ann.Client, text_col: str, context_col: str | None = None, prefix: str | None = None,
     gold_col: str | None = None, max_labels: int = 6, max_retries: int = 2, partitions: int | None = None, concurrency: int = 8,
-    wall_seconds: float = 0.0, out: str | None = None,
+    wall_seconds: float = 0.0, out: str | None = None, ledger: str | None = None, slice_rows: int = ann.SLICE_ROWS, retry_failed: bool = True,
+    structured_output: bool = False, on_slice: Callable[[int, int], None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Requests, replies, parsed labels and run statistics. Gold labels are checked before any request.
 
-    ``wall_seconds`` is for callers that know the time of the requests; otherwise it is measured here.
+    Replies are kept in ``ledger``, a folder that later runs may name again: they ask only what it does not hold (and what failed, unless
+    ``retry_failed`` is off). ``wall_seconds`` is for callers that know the time of the requests; otherwise it is measured here.
     """
     require_columns(df, [c for c in ("row_id", text_col, context_col, gold_col) if c])
     if gold_col:
         mx.check_labels(df, gold_col)
-    codes = assignable_codes(codebook, fallback_to_all=True)
-    requests = ann.build_requests(df, codebook, text_col, context_col, prefix, max_labels)
-    # Replies are written before anything reads them, so no request is sent twice.
+    spark = df.sparkSession
+    shared = ann.instructions(codebook, max_labels)
+    codes = shared.codes
+    requests = ann.build_requests(df, shared, text_col, context_col, prefix)
+    kept = Ledger(spark, ledger or fresh_path(spark, "ledger"), df.schema["row_id"].dataType.simpleString())
     began = time.perf_counter()
-    replies = materialize(ann.fan_out(requests, client, max_retries, partitions, concurrency), "replies")
+    ann.ask_rest(
+        requests, client, shared, kept, slice_rows, retry_failed, on_slice, max_retries=max_retries, partitions=partitions,
+        concurrency=concurrency, structured_output=structured_output,
+    )
     wall_seconds = wall_seconds or time.perf_counter() - began
+    replies = ann.collect_replies(requests, kept)
     columns = ann.annotation_columns(ann.parse_replies(replies, codes, max_labels), codebook)
-    target = out or fresh_path(df.sparkSession, "annotated")
+    target = out or fresh_path(spark, "annotated")
     result = attach(df, columns)
     result.write.mode("overwrite").parquet(target)
-    stored = df.sparkSession.read.schema(result.schema).parquet(target)
+    stored = spark.read.schema(result.schema).parquet(target)
     stats = mx.run_statistics(stored, wall_seconds, concurrency)
     if gold_col:
         quality = mx.evaluate_saved(stored, codes, gold_col, "predicted_code_sentiments").drop("input_rows")

@@ -487,9 +487,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT code, gn AS support, {r6(div('tp', 'pn'))} AS precision, {r6(div('tp', 'gn'))} AS recall, {r6(div('2 * tp', 'gn + pn'))} AS f1, {r6('hit::DOUBLE / pairs')} AS gold_code_sentiment_accuracy, CASE WHEN found > 0 THEN {r6('hit::DOUBLE / found')} END AS detected_gold_sentiment_accuracy FROM (SELECT code, count(*) FILTER (g AND p) AS tp, count(*) FILTER (g) AS gn, count(*) FILTER (p) AS pn FROM ecell GROUP BY code) LEFT JOIN sacc USING (code)",
         "repl", "cb", extra=evaluated_blocks())
     echo = f"'{user}' || CAST(to_json(text) AS VARCHAR)"
-    sql["fan_out_echo"] = build(
-        f"SELECT row_id, CASE WHEN answer = '' THEN 'UNKNOWN' ELSE c END AS predicted_codes, CASE WHEN answer = '' THEN 'UNKNOWN' ELSE c || ':' || n % 3 END AS predicted_code_sentiments, answer = '' AS needs_review, CASE WHEN answer = '' THEN 'empty_text' ELSE '' END AS llm_error, CASE WHEN answer = '' THEN 0 ELSE n END AS prompt_tokens, CASE WHEN answer = '' THEN 0 ELSE 7 END::BIGINT AS completion_tokens FROM (SELECT *, {CODE_LIST}[1 + n % 10] AS c FROM (SELECT row_id, answer, len({echo}) AS n FROM srow))",
-        "resp", extra=SCORER_ROWS)
+    echoed = "SELECT row_id, CASE WHEN answer = '' THEN 'UNKNOWN' ELSE c END AS predicted_codes, CASE WHEN answer = '' THEN 'UNKNOWN' ELSE c || ':' || n % 3 END AS predicted_code_sentiments, answer = '' AS needs_review, CASE WHEN answer = '' THEN 'empty_text' ELSE '' END AS llm_error, CASE WHEN answer = '' THEN 0 ELSE n END AS prompt_tokens, CASE WHEN answer = '' THEN 0 ELSE 7 END::BIGINT AS completion_tokens"
+    turns = f" FROM (SELECT *, {CODE_LIST}[1 + n % 10] AS c FROM (SELECT row_id, answer, len({echo}) AS n FROM srow))"
+    sql["fan_out_echo"] = build(echoed + turns, "resp", extra=SCORER_ROWS)
+    sql["annotate_resumed"] = build(echoed + ", CASE WHEN answer = '' THEN 0 ELSE 1 END::BIGINT AS times_answered" + turns, "resp", extra=SCORER_ROWS)
     # scorers, streaming, stores
     sql["stub_scores_multilabel"] = build(f"SELECT row_id, code, {r6(f'CASE WHEN answer = {chr(39) * 2} THEN 0 ELSE {STUB} END')} AS score FROM srow CROSS JOIN cb", "resp", "cb", extra=SCORER_ROWS)
     sql["stub_scores_pairs"] = build("SELECT row_id, code, (i - 1)::INT AS pair_class, round([p0, p1, p2, p3][i], 6) + 0.0::DOUBLE AS p FROM sprob CROSS JOIN range(1, 5) t(i)", "resp", "cb", extra=stub_pairs())

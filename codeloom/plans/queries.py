@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ..operators import metrics as mx
 from ..operators import responses as rs
 from ..settings import fresh_path, materialize
 from ..sources import stores, tables
+from ..sources.ledger import Ledger
 from ..streaming.scoring import score_stream
 from . import jobs, views
 
@@ -653,8 +655,9 @@ def centroid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = ann.build_requests(views.responses(spark, sf_dir), views.codebook(spark), "answer", "context", "about:")
-    return requests.select("row_id", "filled", F.md5("system_prompt").alias("system"), "user_prompt")
+    shared = ann.instructions(views.codebook(spark))
+    requests = ann.build_requests(views.responses(spark, sf_dir), shared, "answer", "context", "about:")
+    return requests.select("row_id", "filled", F.md5(F.lit(shared.system)).alias("system"), "user_prompt")
 
 
 @query
@@ -708,6 +711,33 @@ def fan_out_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("row_id", "predicted_codes", "predicted_code_sentiments", "needs_review", "llm_error", "prompt_tokens", "completion_tokens")
 
 
+class _Broken(RuntimeError):
+    pass
+
+
+@query
+def annotate_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that breaks after half of its slices, and a second one on the same ledger: the results, and how often each row was answered."""
+
+    def break_off(done: int, n_slices: int) -> None:
+        if 2 * done >= n_slices:
+            raise _Broken
+
+    rows, folder = views.responses(spark, sf_dir), fresh_path(spark, "ledger")
+    slice_rows = max(1, rows.count() // 4)
+    run = partial(jobs.annotate, rows, views.codebook(spark), _echo_client, "answer", "context", ledger=folder, slice_rows=slice_rows)
+    try:
+        run(on_slice=break_off)
+    except _Broken:
+        pass
+    stored, _ = run()
+    answered = Ledger(spark, folder).replies().groupBy("row_id").agg(F.count("*").alias("times_answered"))
+    return stored.join(answered, "row_id", "left").select(
+        "row_id", "predicted_codes", "predicted_code_sentiments", "needs_review", "llm_error", "prompt_tokens", "completion_tokens",
+        F.coalesce("times_answered", F.lit(0)).cast("bigint").alias("times_answered"),
+    )
+
+
 # ---- plug-in scorers -------------------------------------------------------------------------
 
 

@@ -10,6 +10,17 @@ from pyspark.sql import types as T
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def committed_batches(spark: SparkSession, checkpoint: str) -> int:
+    """How many micro-batches a stream has committed over all its runs: batches count from 0, and the commit log has a file for each.
+
+    Progress reports do not tell: a run without new files reports the number of the batch that would come next.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/commits")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+    return 1 + max((int(name) for name in names if name.isdigit()), default=-1)
+
+
 def score_stream(
     spark: SparkSession,
     in_dir: str,
@@ -35,6 +46,4 @@ def score_stream(
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    # Progress reports are kept for the last batches only, but each tells its number; batches count from 0 over all runs.
-    last = query.lastProgress
-    return int(last["batchId"]) + 1 if last else 0
+    return committed_batches(spark, checkpoint)

@@ -121,6 +121,21 @@ def test_replies(spark):
         assert (row["invalid"], row["needs_review"]) == (invalid, review)
 
 
+def test_replies_after_the_first_value_and_repeated_keys(spark):
+    rows = [
+        '{"labels":[{"code":"A1","sentiment":1}]} {"labels":[]}', '{"labels":[{"code":"A1","sentiment":1}]}, {"a":1}',
+        '{"labels":[],"labels":[{"code":"B1","code":"A1","sentiment":0,"sentiment":2}]}', 'x {"labels":[{"code":"A1","sentiment":1.50}]} y',
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "row_id bigint, raw_response string")
+    got = ann.parse_replies(df, ["A1", "B1"]).orderBy("row_id").collect()
+    assert [r.parse_error for r in got] == ["invalid_json", "invalid_json", "", ""]
+    assert [[(p.code, p.sentiment) for p in r.labels] for r in got] == [[], [], [("A1", 2)], []]
+    assert got[3].invalid == ["A1:1.5"]
+    # What a retry would accept is what the parser reads.
+    assert [ann.has_labels(r) for r in rows] == [r.parse_error == "" for r in got]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
 def test_fan_out_turns_failures_into_rows(spark, small_codebook):
     def client(system, user):
         if "bad" in user:
@@ -128,8 +143,10 @@ def test_fan_out_turns_failures_into_rows(spark, small_codebook):
         return {"content": '{"labels":[{"code":"A1","sentiment":1}]}', "prompt_tokens": 3, "completion_tokens": 2}
 
     df = spark.createDataFrame([(0, "fine"), (1, "bad"), (2, " ")], "row_id bigint, text string")
-    requests = ann.build_requests(df, small_codebook, "text")
-    rows = {r["row_id"]: r for r in ann.fan_out(requests, client, max_retries=1).collect()}
+    shared = ann.instructions(small_codebook)
+    requests = ann.build_requests(df, shared, "text")
+    answered = ann.fan_out(requests.where("filled"), client, shared, max_retries=1).drop("request_key")
+    rows = {r["row_id"]: r for r in answered.unionByName(ann.empty_rows(requests.where("NOT filled"))).collect()}
     assert rows[0]["llm_error"] == "" and rows[0]["prompt_tokens"] == 3
     assert rows[1]["llm_error"] == "RuntimeError: down" and rows[1]["attempts"] == 2
     assert rows[2]["llm_error"] == "empty_text" and rows[2]["attempts"] == 0
