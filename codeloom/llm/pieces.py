@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from codeloom.llm import words as W
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 2 << 20
+#: Rows are decoded and checked in slices of so many bytes, encoded in windows of so many symbols; the lattices of distinct parts of
+#: so many symbols are held at a time.
+SLICE_BYTES = 1 << 20
+WINDOW_SYMBOLS = 256 << 10
+GROUP_SYMBOLS = 64 << 10
 SPACE = 0x2581
 #: A space mark that stands in the text itself; it is spelled in bytes so that decoding can tell it from a space.
 LITERAL = 0x110000
@@ -138,10 +142,10 @@ class Lattice(NamedTuple):
 
 def build_lattice(model: Model, kinds: np.ndarray, sizes: np.ndarray) -> tuple[Lattice, np.ndarray, np.ndarray]:
     """The lattice of parts that lie one after the other in ``kinds``; first and last state of each part."""
-    ends = np.cumsum(sizes)
-    first_state = ends - sizes + np.arange(len(sizes))
-    part = np.repeat(np.arange(len(sizes)), sizes)
-    position = np.arange(len(kinds))
+    ends = np.cumsum(sizes, dtype=np.int32)
+    first_state = ends - sizes + np.arange(len(sizes), dtype=np.int32)
+    part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    position = np.arange(len(kinds), dtype=np.int32)
     end_of, state_of = ends[part], position + part
     sources, pieces, lengths = [], [], []
     alive, total, length = position, np.zeros(len(kinds), np.uint64), 0
@@ -153,7 +157,7 @@ def build_lattice(model: Model, kinds: np.ndarray, sizes: np.ndarray) -> tuple[L
         whole = piece >= 0 if length > 1 else np.ones(len(alive), bool)
         sources.append(state_of[alive[whole]])
         pieces.append(piece[whole])
-        lengths.append(np.full(int(whole.sum()), length))
+        lengths.append(np.full(int(whole.sum()), length, np.int32))
         on = np.flatnonzero((at >= 0) & (alive + length < end_of[alive]))
         alive, total = alive[on], total[on]
     # Longest pieces first: they are likely ones. Each length is in order already, so sorting merges few runs.
@@ -164,9 +168,10 @@ def build_lattice(model: Model, kinds: np.ndarray, sizes: np.ndarray) -> tuple[L
     weight = np.where(piece >= 0, model.weights[piece], FALLBACK_WEIGHT)
     n_states = len(kinds) + len(sizes)
     step = target - np.repeat(first_state, sizes + 1)[target]
-    by_step = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable")
+    by_step = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable").astype(np.int32)
     total_weight = np.zeros(n_states)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(step))])[1:]
+    del order, step, end_of, state_of, part
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         edge = by_step[low:high]
         value = total_weight[source[edge]] + weight[edge]
@@ -189,61 +194,106 @@ def uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (W.mix(keys + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
 
 
-def encode_texts(model: Model, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and where each text's ids begin; ``keys`` are 64-bit hashes of the row keys."""
-    parts = [" " + t if t else "" for t in texts]
-    rows = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    n = len(codes)
-    if not n:
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+def _window(model: Model, text: str, edges_at: np.ndarray, final: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a window and where it falls apart; ``edges_at`` are row ends in it. The end of a window inside a text is no cut."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
     literal, blank = codes == SPACE, codes == 0x20
     codes[literal], codes[blank] = LITERAL, SPACE
     kinds = model.class_of[codes]
     pairs = model.pair_of[kinds]
-    cut = np.ones(n + 1, bool)
+    cut = np.ones(len(codes) + 1, bool)
     cut[1:-1] = ~model.joined[pairs[:-1], pairs[1:]]
-    cut[rows] = True
-    edges = np.flatnonzero(cut)
+    cut[-1] = final
+    cut[edges_at] = True
+    return codes, kinds, np.flatnonzero(cut).astype(np.int32)
+
+
+def _segment(model: Model, kinds: np.ndarray, edges: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The piece that begins at each symbol: -2 for none, -1 for a symbol in no piece. ``key`` and ``base`` belong to the parts."""
     begins, sizes = edges[:-1], np.diff(edges)
-    chosen = np.full(n, -2, np.int32)
+    chosen = np.full(len(kinds), -2, np.int32)
     lone = begins[sizes == 1]
     chosen[lone] = model.single[kinds[lone]]
-    begins, sizes = begins[sizes > 1], sizes[sizes > 1]
-    if len(begins):
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        powers = W._powers(int(_MULTIPLIER), int(sizes.max()))
-        own = kinds[np.repeat(begins, sizes) + place]
-        hashes = np.add.reduceat(model.values[own] * powers[place], np.cumsum(sizes) - sizes)
-        _, sample, which = np.unique(W.mix(hashes) + sizes.astype(np.uint64), return_index=True, return_inverse=True)
-        lengths = sizes[sample]
-        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        lattice, first, last = build_lattice(model, kinds[np.repeat(begins[sample], lengths) + inside], lengths)
-        row = np.searchsorted(rows, begins, "right") - 1
-        key, base = keys[row], rows[row]
-        state, start, at = last[which], first[which], begins + sizes
+    long = sizes > 1
+    begins, sizes, key, base = begins[long], sizes[long], key[long], base[long]
+    if not len(begins):
+        return chosen
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(starts, sizes)
+    own = kinds[np.repeat(begins, sizes) + place]
+    hashes = np.add.reduceat(model.values[own] * W._powers(int(_MULTIPLIER), int(sizes.max()))[place], starts)
+    del place, own
+    _, sample, which = np.unique(W.mix(hashes) + sizes.astype(np.uint64), return_index=True, return_inverse=True)
+    # Lattices of some distinct parts at a time, and all draws from them.
+    group = np.cumsum(sizes[sample]) // GROUP_SYMBOLS
+    order = np.argsort(group[which], kind="stable")
+    bounds = np.searchsorted(group[which][order], np.arange(int(group[-1]) + 2))
+    first_of = np.searchsorted(group, np.arange(int(group[-1]) + 2))
+    for g in range(int(group[-1]) + 1):
+        own = slice(first_of[g], first_of[g + 1])
+        lengths = sizes[sample[own]]
+        if not len(lengths):
+            continue
+        inside = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, lengths)
+        lattice, first, last = build_lattice(model, kinds[np.repeat(begins[sample[own]], lengths) + inside], lengths)
+        drawn = order[bounds[g] : bounds[g + 1]]
+        part = which[drawn] - own.start
+        state, start, at, k, b = last[part], first[part], begins[drawn] + sizes[drawn], key[drawn], base[drawn]
         while len(state):
-            edge = lattice.draw(state, uniform(key, at - base))
+            edge = lattice.draw(state, uniform(k, at - b))
             at = at - lattice.length[edge]
             chosen[at] = lattice.piece[edge]
             state = lattice.source[edge]
             on = state > start
-            state, start, at, key, base = state[on], start[on], at[on], key[on], base[on]
-    used = np.flatnonzero(chosen > -2)
-    ids = chosen[used]
+            state, start, at, k, b = state[on], start[on], at[on], k[on], b[on]
+    return chosen
+
+
+def _spell(model: Model, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` with the bytes of symbols in no piece, and where the ids of each symbol begin."""
     spelled = np.flatnonzero(ids == -1)
-    if len(spelled):
-        code = codes[used[spelled]]
-        code = np.where(code == LITERAL, SPACE, np.where(code == SPACE, 0x20, code))
-        width = np.ones(len(used), np.int64)
-        width[spelled] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        ids = np.repeat(ids, width)
-        raw = np.frombuffer("".join(map(chr, code)).encode(), np.uint8)
-        ids[ids == -1] = model.byte_ids[raw]
-        ends = np.concatenate([[0], np.cumsum(width)])
-    else:
-        ends = np.arange(len(used) + 1)
-    return ids, ends[np.searchsorted(used, rows)]
+    if not len(spelled):
+        return ids, np.arange(len(ids) + 1)
+    code = codes[spelled]
+    code = np.where(code == LITERAL, SPACE, np.where(code == SPACE, 0x20, code))
+    width = np.ones(len(ids), np.int64)
+    width[spelled] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    ids = np.repeat(ids, width)
+    ids[ids == -1] = model.byte_ids[np.frombuffer("".join(map(chr, code)).encode(), np.uint8)]
+    return ids, np.concatenate([[0], np.cumsum(width)])
+
+
+def encode_texts(model: Model, texts: list[str], keys: np.ndarray, window: int = WINDOW_SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and where each text's ids begin; ``keys`` are 64-bit hashes of the row keys.
+
+    Works through windows that end where the lattice falls apart, so memory follows the window and not the longest text.
+    """
+    parts = [" " + t if t else "" for t in texts]
+    rows = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    whole = "".join(parts)
+    del parts
+    found, counts, low, width = [], np.zeros(len(texts), np.int64), 0, window
+    while low < len(whole):
+        high = min(low + width, len(whole))
+        inner = rows[np.searchsorted(rows, low) : np.searchsorted(rows, high, "right")] - low
+        codes, kinds, edges = _window(model, whole[low:high], inner, high == len(whole))
+        size = int(edges[-1])
+        if not size:
+            # No cut in the window: a longer one.
+            width *= 2
+            continue
+        row = np.searchsorted(rows, low + edges[:-1], "right") - 1
+        chosen = _segment(model, kinds[:size], edges, keys[row], rows[row] - low)
+        used = np.flatnonzero(chosen > -2)
+        ids, starts = _spell(model, chosen[used], codes[used])
+        found.append(ids)
+        # Rows that the window touches, by the places where they begin or go on in it.
+        touched = np.arange(row[0], row[-1] + 1)
+        ends = np.minimum(rows[touched + 1] - low, size)
+        at = starts[np.searchsorted(used, ends)]
+        counts[touched] += np.diff(at, prepend=0)
+        low, width = low + size, window
+    return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(counts)])
 
 
 def decode_ids(model: Model, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:

@@ -270,3 +270,19 @@ def test_url_query_has_no_python_in_its_plan(spark):
     for df in (counts, url_filters.gram_gains(counts), url_filters.with_scores(judged, url_filters.gram_gains(counts))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+# SentencePiece windows
+
+
+def test_windows_and_groups_do_not_change_segmentations(monkeypatch):
+    from codeloom.llm import pieces
+
+    model = pieces.load_model()
+    texts = [t or "" for _, t, _ in ROWS] + ["a" * 700, "日本語" * 50, ""]
+    keys = W.mix(np.arange(len(texts), dtype=np.uint64))
+    ids, bounds = pieces.encode_texts(model, texts, keys)
+    monkeypatch.setattr(pieces, "GROUP_SYMBOLS", 40)
+    again, ends = pieces.encode_texts(model, texts, keys, window=16)
+    assert again.tolist() == ids.tolist() and ends.tolist() == bounds.tolist()
+    assert [b.decode() for b in pieces.decode_ids(model, ids, bounds)] == texts
