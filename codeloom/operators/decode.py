@@ -6,6 +6,7 @@ row has at most one score per code of the codebook. Everything after that is arr
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.codes import SENTIMENT_NAMES, or_unknown, pair_text, sentiment_names
 from ..functions.text import format_candidates, join_labels
 from ..settings import MAX_LITERAL_CODES, UNKNOWN, collect_bounded
+from .pairs import literal_leaves
+
+
+#: Names of a codebook up to this size are a literal in the plan.
+MAX_MAPPED_CODES = 500
 
 
 @dataclass(frozen=True)
@@ -59,6 +65,17 @@ def gather_scores(scores: DataFrame) -> DataFrame:
     )
 
 
+def rank_arrays(scored: DataFrame, classes: list[str]) -> DataFrame:
+    """As ``gather_scores`` from rows that have their scores as one array in the order of ``classes``: ranked in the row, nothing is shuffled.
+
+    Other columns are kept.
+    """
+    codes = F.array(*[F.lit(c) for c in classes])
+    entries = F.transform("scores", lambda s, i: F.struct((-s).alias("_down"), F.get(codes, i).alias("code"), s.alias("score")))
+    ranked = F.transform(F.array_sort(entries), lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score")))
+    return scored.select(*[c for c in scored.columns if c != "scores"], ranked.alias("ranked"))
+
+
 def rank_candidates(scores: DataFrame, top_k: int = 5) -> DataFrame:
     """The ``top_k`` best codes of each row, ranks from 1."""
     top = gather_scores(scores).select("row_id", F.posexplode(F.slice("ranked", 1, top_k)).alias("pos", "c"))
@@ -105,10 +122,21 @@ def gather_pair_scores(probs: DataFrame) -> DataFrame:
     return scored.groupBy("row_id").agg(F.transform(ranked, entry).alias("ranked"))
 
 
+def rank_pair_arrays(scored: DataFrame, codes: list[str]) -> DataFrame:
+    """As ``gather_pair_scores`` from rows with the probabilities of all ``codes`` in one array: ranked in the row, nothing is shuffled."""
+    names = F.array(*[F.lit(c) for c in codes])
+    entries = F.transform("probs", lambda p, i: F.struct(
+        (-presence(p)).alias("_down"), F.get(names, i).alias("code"), presence(p).alias("score"), best_sentiment(p).alias("sentiment")
+    ))
+    ranked = F.transform(F.array_sort(entries), lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score"), x["sentiment"].alias("sentiment")))
+    return scored.select(*[c for c in scored.columns if c != "probs"], ranked.alias("ranked"))
+
+
 def decode_sentiment(probs: DataFrame, threshold: float, max_labels: int = 6) -> DataFrame:
-    """Accepted codes with their sentiment, long form."""
+    """Accepted codes with their sentiment, long form, from long probabilities or from rows with ``ranked``."""
     check_decode_args(threshold, max_labels)
-    kept = gather_pair_scores(probs).select(
+    ranked = probs if "ranked" in probs.columns else gather_pair_scores(probs)
+    kept = ranked.select(
         "row_id", F.posexplode(accepted(F.col("ranked"), threshold, max_labels)).alias("pos", "c")
     )
     return kept.select("row_id", (F.col("pos") + 1).alias("rank"), "c.code", "c.score", "c.sentiment")
@@ -144,9 +172,27 @@ def parent_rollup(labels: Column, by: str = "code") -> tuple[Column, Column]:
 def name_accepted(decoded: DataFrame, codebook: DataFrame, carried: list[str]) -> DataFrame:
     """Adds ``labels``: the accepted codes with names and parents from the codebook.
 
-    Only accepted codes are looked up. Rows stay partitioned by ``row_id`` through a broadcast of a
-    small codebook, so the regrouping needs no further shuffle; a large codebook is joined by code.
+    A codebook of at most ``MAX_MAPPED_CODES`` codes is a literal map, looked up in the row. With a larger one, for which that would be a long
+    search, the accepted codes are joined by code and gathered by row.
     """
+    rows = codebook.select("code", "name", "parent_code", "parent_name").limit(MAX_MAPPED_CODES + 1).collect()
+    if len(rows) > MAX_MAPPED_CODES:
+        return _join_names(decoded, codebook, carried)
+    table = json.dumps({r["code"]: {k: r[k] for k in ("name", "parent_code", "parent_name")} for r in rows})
+    names = F.from_json(F.lit(table), "map<string,struct<name:string,parent_code:string,parent_name:string>>")
+
+    def label(item: Column, pos: Column) -> Column:
+        found = F.try_element_at(names, item["code"])
+        return F.struct(
+            pos.alias("pos"), item["code"].alias("code"), F.coalesce(found["name"], item["code"]).alias("name"),
+            F.coalesce(found["parent_code"], F.lit("")).alias("parent_code"), F.coalesce(found["parent_name"], F.lit("")).alias("parent_name"),
+            item.alias("item"),
+        )
+
+    return decoded.select("row_id", *carried, F.transform("accepted", label).alias("labels"))
+
+
+def _join_names(decoded: DataFrame, codebook: DataFrame, carried: list[str]) -> DataFrame:
     opened = decoded.select("row_id", *carried, F.posexplode_outer("accepted").alias("_pos", "_c")).select(
         "row_id", *carried, "_pos", F.col("_c.code").alias("code"), F.col("_c").alias("_item")
     )
@@ -244,3 +290,36 @@ def prediction_report(rows: DataFrame, scores: DataFrame, threshold: float, max_
         format_candidates(F.slice(ranked, 1, 5)).alias("top_candidates"),
     )
     return table.withColumn("correct", F.col("true_codes") == F.col("predicted_codes"))
+
+
+def pair_prediction_report(
+    rows: DataFrame, scored: DataFrame, codebook: DataFrame, threshold: float, max_labels: int = 6
+) -> DataFrame:
+    """True and predicted code:sentiment pairs in the order of the codebook, top five candidates, and whether every code has its class.
+
+    ``rows`` has ``row_id, answer, context, annotations`` (at most one sentiment of a code); ``scored`` the probabilities of all leaf codes in one array
+    (``scorers.pair_arrays``). Pairs of other codes are left out.
+    """
+    check_decode_args(threshold, max_labels)
+    leaves = literal_leaves(codebook)
+    codes = F.array(*[F.lit(leaf["code"]) for leaf in leaves])
+    names = F.array(*[F.lit(leaf["name"]) for leaf in leaves])
+    place = lambda p: F.array_position(codes, p["code"])
+
+    def in_order(pairs: Column) -> Column:
+        known = F.filter(F.transform(pairs, lambda p: F.struct(place(p).alias("at"), p["code"].alias("code"), p["sentiment"].alias("sentiment"))), lambda p: p["at"] > 0)
+        return F.array_sort(F.array_distinct(known))
+
+    ranked = rank_pair_arrays(scored.select("row_id", "probs"), [leaf["code"] for leaf in leaves])
+    joined = rows.select("row_id", "answer", "context", "annotations").join(ranked, "row_id")
+    chosen = joined.select(
+        "row_id", "answer", "context", in_order(F.col("annotations")).alias("gold"), in_order(accepted(F.col("ranked"), threshold, max_labels)).alias("pred"),
+        F.slice("ranked", 1, 5).alias("shown"),
+    )
+    text = lambda pairs: or_unknown(F.array_join(F.transform(pairs, pair_text), ", "))
+    candidate = lambda c: F.concat_ws(":", c["code"], F.format_number(c["score"], "0.0000"), c["sentiment"].cast("string"))
+    return chosen.select(
+        "row_id", "answer", "context", text(F.col("gold")).alias("true_code_sentiments"), text(F.col("pred")).alias("predicted_code_sentiments"),
+        F.array_join(F.transform("shown", candidate), "; ").alias("top_candidates"), (F.col("gold") == F.col("pred")).alias("correct"),
+        F.array_join(F.transform("pred", lambda p: F.get(names, (p["at"] - 1).cast("int"))), "; ").alias("predicted_names"),
+    )

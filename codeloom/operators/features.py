@@ -1,25 +1,35 @@
 """Text features: word and character n-grams, vocabulary, TF-IDF.
 
-Terms live in a long table ``(row_id, space, term, tf)``; ``space`` is ``word`` or ``char``.
-Counts are combined inside each task before they are shuffled, so a term that occurs in most
-texts crosses the network once per task and not once per occurrence.
+``space`` is ``word`` or ``char``. The terms of a text are counted where the text is. For a vocabulary a task adds up its texts, and only
+sums by term are shuffled. For weights the vocabulary goes to the tasks, and a text becomes a sparse row without any shuffle. A vocabulary that
+is too large to be sent is joined with long tables ``(row_id, space, term, tf)`` instead.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..settings import materialize
+from .numbering import consecutive, first_rows, nth_largest
 
 # A token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 WORD_FEATURES = 100_000
 CHAR_FEATURES = 150_000
-# A vocabulary of more terms is not sent to the tasks whole (a term is an n-gram of a few dozen bytes).
-MAX_SENT_TERMS = 500_000
+# A vocabulary of more bytes is not sent to the tasks; a task holds about ten times as much as a dictionary.
+MAX_SENT_BYTES = 32 * 1024 * 1024
+# A task that counts terms hands on what it has when it holds so many.
+MAX_LOCAL_TERMS = 500_000
 
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
@@ -95,73 +105,403 @@ def text_terms(df: DataFrame) -> DataFrame:
     return word_terms(df).unionByName(char_terms(df))
 
 
+# ---- terms counted inside a task -------------------------------------------------------------
+
+# The same tokens as TOKEN: for Python, a word character is a letter, a digit or an underscore.
+_TOKEN = re.compile(r"\w{2,}")
+
+
+def char_grams(word: str, low: int = 3, high: int = 5) -> list[str]:
+    """N-grams of one word with a blank on both sides; a shorter one yields itself once."""
+    padded = f" {word} "
+    grams = [padded[i : i + low] for i in range(max(len(padded) - low + 1, 1))]
+    for n in range(low + 1, high + 1):
+        grams += [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return grams
+
+
+def _occurrences(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, without those below 0, and how often each occurs."""
+    found, times = np.unique(numbers, return_counts=True)
+    first = int(np.searchsorted(found, 0))
+    return found[first:], times[first:]
+
+
+def _pairs(tokens: np.ndarray) -> np.ndarray:
+    """One number for each token and its successor; -1 where one of the two has none."""
+    return np.where((tokens[:-1] >= 0) & (tokens[1:] >= 0), tokens[:-1] << 32 | tokens[1:], -1)
+
+
+#: Characters are numbered in this many bits, so that an n-gram of five is one number.
+_CHAR_BITS = 12
+MAX_CHARS = (1 << _CHAR_BITS) - 1
+_BLANK = 1
+_SPACES = np.zeros(0x110000, bool)
+_SPACES[[c for c in range(0x3001) if chr(c).isspace()]] = True
+
+
+class Alphabet:
+    """Numbers of characters, from 2 on; 1 is the blank around a word, 0 stands for a character without a number."""
+
+    def __init__(self, characters: Iterable[str] = ()):
+        self.of = np.zeros(0x110000, np.int64)
+        self.of[0x20] = _BLANK
+        self.characters = ["", " "]
+        self.add(np.array([ord(c) for c in characters], np.uint32))
+
+    def add(self, codes: np.ndarray) -> bool:
+        """Numbers the characters that have none; False, and nothing changes, if there would be too many."""
+        new = np.unique(codes[(self.of[codes] == 0)])
+        if len(self.characters) + len(new) > MAX_CHARS:
+            return False
+        self.of[new] = np.arange(len(self.characters), len(self.characters) + len(new))
+        self.characters += [chr(c) for c in new.tolist()]
+        return True
+
+    def key(self, gram: str) -> int:
+        number = len(gram) - 3
+        for c in gram:
+            number = number << _CHAR_BITS | int(self.of[ord(c)])
+        return number
+
+    def gram(self, key: int) -> str:
+        size = 3
+        while key >> _CHAR_BITS * size != size - 3:
+            size += 1
+        return "".join(self.characters[key >> _CHAR_BITS * n & MAX_CHARS] for n in range(size - 1, -1, -1))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_keys(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """One number for each character n-gram (3 to 5) of each word with a blank on both sides, as ``char_grams``; only of numbered characters."""
+    inside = ~_SPACES[codes]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    word = np.cumsum(starts)[inside]
+    if not len(word):
+        return np.zeros(0, np.int64)
+    lengths = np.bincount(word)[1:] + 2
+    padded = np.full(int(lengths.sum()), _BLANK, np.int64)
+    padded[np.arange(len(word)) + 2 * word - 1] = of[codes[inside]]
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    known = padded > 0
+    keys, whole, found = padded, known, []
+    for n in range(2, 6):
+        keys = keys[:-1] << _CHAR_BITS | padded[n - 1 :]
+        whole = whole[:-1] & known[n - 1 :]
+        if n >= 3:
+            found.append((keys | (n - 3) << _CHAR_BITS * n)[whole & (owner[: len(keys)] == owner[n - 1 :])])
+    return np.concatenate(found)
+
+
+def _table(space: str, terms: list[str], df: np.ndarray, cf: np.ndarray) -> pa.RecordBatch:
+    values = [pa.array([space] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(df), pa.array(cf)]
+    return pa.RecordBatch.from_arrays(values, names=["space", "term", "df", "cf"])
+
+
+class _Sums:
+    """Texts (df) and occurrences (cf) of numbered terms: those of each text are added up when many have come together."""
+
+    def __init__(self) -> None:
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.keys, self.df, self.cf = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(_occurrences(keys))
+        self.waiting += len(self.new[-1][0])
+        if self.waiting >= 4 * MAX_LOCAL_TERMS:
+            self.add_up()
+
+    def add_up(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+        df = np.concatenate([self.df, np.ones(self.waiting, np.int64)])
+        cf = np.concatenate([self.cf, *(t for _, t in self.new)])
+        self.keys, inverse = np.unique(keys, return_inverse=True)
+        self.df, self.cf = (np.bincount(inverse, x, len(self.keys)).astype(np.int64) for x in (df, cf))
+        self.new, self.waiting = [], 0
+
+    def full(self) -> bool:
+        return len(self.keys) >= MAX_LOCAL_TERMS
+
+
+class _CharCounts:
+    """Counts of the character n-grams that a task has met."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.alphabet, self.sums = Alphabet(), _Sums()
+
+    def add(self, text: str) -> Iterator[pa.RecordBatch]:
+        codes = code_points(text)
+        if not self.alphabet.add(codes):
+            yield self.table()
+            self.clear()
+            if not self.alphabet.add(codes):
+                # A text of more characters than can be numbered: its n-grams are counted as they are.
+                counts = Counter(g for w in text.split() for g in char_grams(w))
+                yield _table("char", list(counts), np.ones(len(counts), np.int64), np.array(list(counts.values()), np.int64))
+                return
+        self.sums.add(gram_keys(codes, self.alphabet.of))
+        if self.sums.full():
+            yield self.table()
+            self.clear()
+
+    def table(self) -> pa.RecordBatch:
+        self.sums.add_up()
+        return _table("char", [self.alphabet.gram(k) for k in self.sums.keys.tolist()], self.sums.df, self.sums.cf)
+
+
+class _WordCounts:
+    """Counts of the tokens and pairs of neighbouring tokens that a task has met."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums = _Sums()
+
+    def add(self, text: str) -> Iterator[pa.RecordBatch]:
+        known = self.known
+        tokens = np.array([known.setdefault(t, len(known)) for t in _TOKEN.findall(text)], np.int64)
+        # Single tokens stand above all pairs, whose first number has 30 bits at most.
+        self.sums.add(np.concatenate([tokens | 1 << 62, _pairs(tokens)]))
+        if self.sums.full():
+            yield self.table()
+            self.clear()
+
+    def table(self) -> pa.RecordBatch:
+        self.sums.add_up()
+        names, keys = list(self.known), self.sums.keys
+        single = keys >= 1 << 62
+        firsts, seconds = (keys[~single] >> 32).tolist(), (keys[~single] & 0xFFFFFFFF).tolist()
+        terms = [f"{names[a]} {names[b]}" for a, b in zip(firsts, seconds, strict=True)]
+        terms += [names[a] for a in (keys[single] & ~(1 << 62)).tolist()]
+        return _table("word", terms, self.sums.df, self.sums.cf)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spaces = [_WordCounts(), _CharCounts()]
+    for batch in batches:
+        for cell in batch.column("text"):
+            text = cell.as_py()
+            for counts in spaces:
+                yield from counts.add(text)
+    for counts in spaces:
+        yield counts.table()
+
+
+def lowered_texts(rows: DataFrame) -> DataFrame:
+    """Texts are lower-cased by Spark, as for the n-gram columns, and dealt out by row where they come in fewer parts than there are cores."""
+    lowered = rows.withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # With the number of parts given they stay as many; parts that are merged by size would leave cores idle.
+    return lowered.repartition(cores, "row_id") if rows.rdd.getNumPartitions() < cores else lowered
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``(space, term, df, cf)`` over all texts: rows with a term and its occurrences. ``rows`` has ``row_id`` (a key) and ``text``."""
+    parts = lowered_texts(rows.select("row_id", "text")).mapInArrow(_count_terms, "space string, term string, df bigint, cf bigint")
+    return parts.groupBy("space", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def vocabulary(
     terms: DataFrame, min_df: int = 2, word_features: int | None = WORD_FEATURES, char_features: int | None = CHAR_FEATURES
 ) -> DataFrame:
     """``(space, term, df, cf)``: terms of at least ``min_df`` texts, the most frequent ones per space.
 
-    The limit keeps the largest corpus counts, ties by term. The count at which a space is full is
-    found from a histogram of counts; only terms with exactly that count are ranked.
+    ``terms`` are counted already (``term_counts``) or long (``row_id, space, term, tf``). The limit keeps the largest corpus counts, ties by term.
+    The count at which a space is full is found by counting; only terms with exactly that count are sorted.
     """
     if min_df < 1:
         raise ValueError("min_df must be positive.")
-    counted = (
-        terms.groupBy("space", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    )
-    limits = {"word": word_features, "char": char_features}
-    if all(v is None for v in limits.values()):
+    counted = terms if "df" in terms.columns else terms.groupBy("space", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    counted = counted.where(F.col("df") >= min_df).select("space", "term", "df", "cf")
+    limits = {space: n for space, n in (("word", word_features), ("char", char_features)) if n is not None}
+    if not limits:
         return counted
-    counted = materialize(counted, "counted-terms")  # read three times below
-    limit = F.when(F.col("space") == "word", F.lit(limits["word"])).otherwise(F.lit(limits["char"]))
-    histogram = counted.groupBy("space", "cf").agg(F.count("*").alias("n_terms"))
-    above = F.coalesce(
-        F.sum("n_terms").over(W.partitionBy("space").orderBy(F.desc("cf")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    room = histogram.select("space", "cf", "n_terms", (limit - above).alias("room"))
-    room = room.where(F.col("room").isNull() | (F.col("room") > 0))
-    kept = counted.join(room, ["space", "cf"])
-    whole = kept.where(F.col("room").isNull() | (F.col("room") >= F.col("n_terms")))
-    edge = kept.where(F.col("room") < F.col("n_terms"))
-    place = F.row_number().over(W.partitionBy("space").orderBy("term"))
-    edge = edge.withColumn("_rn", place).where(F.col("_rn") <= F.col("room")).drop("_rn")
-    return whole.unionByName(edge).select("space", "term", "df", "cf")
+    counted = materialize(counted, "counted-terms")
+    kept = F.lit(True)
+    edges = []
+    for space, (cut, above) in nth_largest(counted, "cf", limits, "space").items():
+        kept = kept & ((F.col("space") != space) | (F.col("cf") > cut))
+        edge = counted.where((F.col("space") == space) & (F.col("cf") == cut))
+        edges.append(first_rows(edge, limits[space] - above, [F.col("term")]))
+    for space, limit in limits.items():
+        if limit < 1:
+            kept = kept & (F.col("space") != space)
+    whole = counted.where(kept)
+    for edge in edges:
+        whole = whole.unionByName(edge)
+    return whole
 
 
 def with_index(vocab: DataFrame, n_docs: Column) -> DataFrame:
-    """Adds ``idx`` (words first, then characters, by term) and ``idf``.
-
-    One task numbers the terms, so the vocabulary must have been limited.
-    """
-    idx = F.row_number().over(W.orderBy(F.desc("space"), "term")) - 1
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    return vocab.select("space", "term", idx.alias("idx"), idf.alias("idf"))
+    """Adds ``idx`` (words first, then characters, by term) and ``idf``."""
+    numbered = consecutive(with_idf(vocab, n_docs).select("space", "term", "idf"), "idx", [F.desc("space"), F.asc("term")])
+    return numbered.select("space", "term", F.col("idx").cast("int").alias("idx"), "idf")
 
 
 def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
     return vocab.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
-def _met(terms: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
-    """Terms of the vocabulary. The usual vocabulary is bounded by the feature limits and sent to the tasks, so that a term of all
-    texts is no hot key; a larger one is joined by shuffle."""
-    known = vocab.select("space", "term", *columns)
-    return terms.join(F.broadcast(known) if known.count() <= MAX_SENT_TERMS else known, ["space", "term"])
-
-
-def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(row_id, space, term, weight)``: (1 + ln tf) · idf, unit length per row and space."""
-    raw = _met(terms, vocab, ["idf"])
-    raw = raw.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("row_id", "space")))  # one row's terms
-    return raw.select("row_id", "space", "term", (F.col("_w") / norm).alias("weight"))
+# ---- sparse rows -----------------------------------------------------------------------------
+
+
+class SentVocabulary(NamedTuple):
+    """A vocabulary as the tasks get it: terms of both spaces, and ``idf`` by ``idx``."""
+
+    terms: pa.Table
+    idf: np.ndarray
+
+
+def _found(keys: np.ndarray, idx: np.ndarray, asked: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ``asked`` keys those in the sorted ``keys``: their ``idx``, and their ``times``."""
+    if not len(keys):
+        return asked[:0], times[:0]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    known = keys[at] == asked
+    return idx[at[known]], times[known]
+
+
+class TermTable:
+    """A sent vocabulary as lookup tables, made once in each worker process."""
+
+    _last: tuple[SentVocabulary, TermTable] | None = None
+
+    def __init__(self, sent: SentVocabulary):
+        self.idf = sent.idf
+        spaces, terms, numbers = (sent.terms.column(c).to_pylist() for c in ("space", "term", "idx"))
+        grams = {term: idx for space, term, idx in zip(spaces, terms, numbers, strict=True) if space == "char"}
+        self.alphabet = Alphabet()
+        # With too many characters to number them, n-grams are looked up one by one.
+        self.grams = None if self.alphabet.add(code_points("".join(grams))) else grams
+        keyed = sorted((self.alphabet.key(term), idx) for term, idx in grams.items()) if self.grams is None else []
+        self.gram_keys, self.gram_idx = (np.array([x[n] for x in keyed], np.int64) for n in (0, 1))
+        # Tokens of any term have numbers; a single token is found by its number, a pair in a sorted array.
+        self.tokens: dict[str, int] = {}
+        single: dict[int, int] = {}
+        pairs: dict[int, int] = {}
+        for space, term, idx in zip(spaces, terms, numbers, strict=True):
+            if space == "word":
+                parts = [self.tokens.setdefault(t, len(self.tokens)) for t in term.split(" ")]
+                if len(parts) == 1:
+                    single[parts[0]] = idx
+                else:
+                    pairs[parts[0] << 32 | parts[1]] = idx
+        self.single = np.full(len(self.tokens) + 1, -1, np.int64)
+        self.single[list(single)] = list(single.values())
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_idx = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+
+    @classmethod
+    def of(cls, sent: Broadcast[SentVocabulary]) -> TermTable:
+        if cls._last is None or cls._last[0] is not sent.value:
+            cls._last = (sent.value, cls(sent.value))
+        return cls._last[1]
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Known tokens and pairs and how often each occurs."""
+        found = _TOKEN.findall(text)
+        get = self.tokens.get
+        tokens = np.array([get(t, -1) for t in found], np.int64)
+        pairs, times = _found(self.pair_keys, self.pair_idx, *_occurrences(_pairs(tokens)))
+        singles, often = _occurrences(self.single[tokens])
+        return np.concatenate([singles, pairs]), np.concatenate([often, times])
+
+    def chars(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Known character n-grams and how often each occurs."""
+        if self.grams is not None:
+            counts = Counter(g for w in text.split() for g in char_grams(w) if g in self.grams)
+            return np.array([self.grams[g] for g in counts], np.int64), np.array(list(counts.values()), np.int64)
+        return _found(self.gram_keys, self.gram_idx, *_occurrences(gram_keys(code_points(text), self.alphabet.of)))
+
+    def row(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Indices in ascending order and weights (1 + ln tf) · idf, of unit length in each space."""
+        parts = []
+        for numbers, times in (self.words(text), self.chars(text)):
+            weights = (1.0 + np.log(times)) * self.idf[numbers]
+            if len(weights):
+                weights /= np.sqrt(weights @ weights)
+            parts.append((numbers, weights))
+        indices, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(indices)
+        return indices[order].astype(np.int32), values[order]
+
+    def knows(self, text: str) -> bool:
+        return bool(len(self.chars(text)[0]) or len(self.words(text)[0]))
+
+
+def send_vocabulary(vocab: DataFrame) -> Broadcast[SentVocabulary] | None:
+    """The vocabulary (``space, term, idx, idf``) for the tasks; None if it is above the bound."""
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))).first()[0]
+    if size > MAX_SENT_BYTES:
+        return None
+    terms = vocab.select("space", "term", "idx", "idf").toArrow()
+    idf = np.zeros(terms.num_rows)
+    idf[terms.column("idx").to_numpy()] = terms.column("idf").to_numpy()
+    return vocab.sparkSession.sparkContext.broadcast(SentVocabulary(terms.drop_columns(["idf"]), idf))
+
+
+def sparse_rows(rows: DataFrame, vocab: DataFrame, sent: Broadcast[SentVocabulary] | None = None) -> DataFrame:
+    """``(row_id, indices, values)`` of each text with a known term: indices ascend, values are of unit length in each space.
+
+    ``vocab`` has ``idx`` and ``idf``; ``sent`` saves sending it anew. Nothing is shuffled but, where they come in few parts, the texts.
+    """
+    sent = sent or send_vocabulary(vocab)
+    if sent is None:
+        return text_features(text_terms(rows), vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = TermTable.of(sent)
+        for batch in batches:
+            found = [table.row(text.as_py()) for text in batch.column("text")]
+            for low in range(0, len(found), 1000):
+                part = found[low : low + 1000]
+                ends = np.cumsum([0, *(len(i) for i, _ in part)], dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in zip(*part, strict=True)]
+                out = pa.RecordBatch.from_arrays([batch.column("row_id").slice(low, len(part)), *lists], names=["row_id", "indices", "values"])
+                yield out.filter(pa.array(np.diff(ends) > 0))
+
+    row_type = rows.schema["row_id"].dataType.simpleString()
+    return lowered_texts(rows.select("row_id", "text")).mapInArrow(run, f"row_id {row_type}, indices array<int>, values array<double>")
+
+
+def rows_with_terms(rows: DataFrame, vocab: DataFrame, sent: Broadcast[SentVocabulary] | None = None) -> DataFrame:
+    """``row_id`` of the texts with a known term."""
+    sent = sent or send_vocabulary(vocab)
+    if sent is None:
+        return text_terms(rows).join(vocab.select("space", "term"), ["space", "term"], "left_semi").select("row_id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = TermTable.of(sent)
+        for batch in batches:
+            known = pa.array([table.knows(text.as_py()) for text in batch.column("text")], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("row_id").filter(known)], names=["row_id"])
+
+    row_type = rows.schema["row_id"].dataType.simpleString()
+    return lowered_texts(rows.select("row_id", "text")).mapInArrow(run, f"row_id {row_type}")
+
+
+def tfidf(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(row_id, space, term, weight)``: (1 + ln tf) · idf, unit length per row and space. ``vocab`` has ``idx`` and ``idf``."""
+    entries = F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("weight"))
+    long = sparse_rows(rows, vocab).select("row_id", F.explode(entries).alias("e")).select("row_id", "e.idx", "e.weight")
+    names = vocab.select("idx", "space", "term")
+    small = vocab.agg(F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))).first()[0] <= MAX_SENT_BYTES
+    return long.join(F.broadcast(names) if small else names, "idx").select("row_id", "space", "term", "weight")
 
 
 def text_features(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row per text: ``indices`` (ascending) and ``values`` over both spaces, each of unit length.
-
-    ``vocab`` has ``idx`` and ``idf``. Terms meet the vocabulary once and are gathered by row once.
-    """
-    raw = _met(terms, vocab, ["idx", "idf"])
+    """As ``sparse_rows`` from a long table of terms, for a vocabulary that is too large to be sent: one join by term, one regrouping by row."""
+    raw = terms.join(vocab.select("space", "term", "idx", "idf"), ["space", "term"])
     weight = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     entries = raw.select("row_id", F.struct(F.col("idx"), weight.alias("w")).alias("e"), (F.col("space") == "word").alias("_is_word"))
     square = F.col("e.w") * F.col("e.w")

@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from ..functions.binding import bind
 
 BUCKET_DIGITS = 3
+#: Rows that a bucket should have at most.
+BUCKET_ROWS = 50_000
+
+
+def digits_for(n_rows: int) -> int:
+    """Leading hex digits that cut ``n_rows`` rows into buckets of at most about ``BUCKET_ROWS``, 3 at least."""
+    digits = BUCKET_DIGITS
+    while n_rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def hash_order(seed: int | Column, *keys: Column) -> Column:

@@ -12,18 +12,16 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import format_nearest, with_prefix
 from ..functions.vectors import l2_normalize
-from ..settings import MAX_BROADCAST_BYTES
+from ..settings import MAX_BROADCAST_BYTES, materialize
+from .block_search import BLOCK_ROWS, BlockSearch
 from .decode import INDEX_RULES, accepted, prediction_columns
 from .features import char_wb_ngrams
 from .responses import require_columns, require_rows, single_label
 
-BLOCK_ROWS = 4096
-
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -117,55 +115,15 @@ def single_label_centroids(examples: DataFrame, level: str = "code") -> DataFram
     return code_centroids(kept) if level == "code" else parent_centroids(kept)
 
 
-# ---- blocked similarity ----------------------------------------------------------------------
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.array(vectors.tolist(), dtype=np.float64)
-    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+# ---- similarity ------------------------------------------------------------------------------
 
 
 def blocked_top_k(queries: DataFrame, candidates: DataFrame, keys: list[str], k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The ``k`` most similar candidates of each query among those with the same ``keys``.
+    """The ``k`` most similar candidates of each query among those with the same ``keys``: exact, ties by ``cand_id``.
 
-    ``queries`` has keys, ``row_id, vector``; ``candidates`` has keys, ``cand_id, vector``. Both sides
-    of a key are cut into blocks of about ``block_rows`` by hash; a task multiplies one pair of
-    blocks and keeps ``k`` per query, so a key with most of the rows is many equal tasks and no task
-    holds or emits all pairs. Exact; ties by ``cand_id``.
+    ``queries`` has keys, ``row_id, vector``; ``candidates`` has keys, ``cand_id, vector``. See ``block_search``.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("bigint").alias(name))
-
-    plan = blocks(queries, "_qn").join(blocks(candidates, "_cn"), keys)
-    q = queries.join(plan, keys).select(
-        *keys, "row_id", "vector", F.pmod(F.xxhash64("row_id"), F.col("_qn")).alias("_qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cn") - 1)).alias("_cb"),
-    )
-    c = candidates.join(plan, keys).select(
-        *keys, "cand_id", "vector", F.pmod(F.xxhash64("cand_id"), F.col("_cn")).alias("_cb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qn") - 1)).alias("_qb"),
-    )
-    cell = [*keys, "_qb", "_cb"]
-    types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *candidates.schema.fields]}
-    columns = [*keys, "row_id", "cand_id", "score"]
-    schema = ", ".join(f"`{n}` {types.get(n, 'double')}" for n in columns)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        right = right.sort_values("cand_id", kind="stable")
-        # Rounded below the noise of a matrix product, so that equal vectors tie exactly.
-        scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, 12)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows, ids = np.repeat(left["row_id"].to_numpy(), order.shape[1]), right["cand_id"].to_numpy()[order.ravel()]
-        out = pd.DataFrame({"row_id": rows, "cand_id": ids, "score": np.take_along_axis(scores, order, axis=1).ravel()})
-        for key in keys:
-            out[key] = left[key].iloc[0]
-        return out[columns]
-
-    partial = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(best, schema)
-    merged = W.partitionBy(*keys, "row_id").orderBy(F.desc("score"), "cand_id")  # k rows per candidate block
-    return partial.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
+    return BlockSearch(candidates, keys, block_rows).top_k(queries, k)
 
 
 def _broadcast_matrix(centroids: DataFrame) -> tuple[list, np.ndarray] | None:
@@ -242,8 +200,8 @@ def build_index(long: DataFrame, codebook: DataFrame, encoder: Encoder | None =
     require_columns(long, INDEX_COLUMNS)
     require_rows(long, "Cannot build an index from an empty table.")
     encoded = long if "embedding" in long.columns else encode(long, "text", encoder, batch_size, prefix)
-    # A stable key from the data itself: row and code identify an example.
-    examples = encoded.withColumn("example_id", F.concat_ws("|", F.col("row_id").cast("string"), "code"))
+    # A stable key from the data itself: row and code identify an example. Written once: both sets of centroids and the store read it.
+    examples = materialize(encoded.withColumn("example_id", F.concat_ws("|", F.col("row_id").cast("string"), "code")), "examples")
     config = {"input_prefix": prefix, "embeddings_normalized": True}
     return EmbeddingIndex(examples, code_centroids(examples, codebook), parent_centroids(examples), codebook, config)
 
@@ -259,7 +217,8 @@ def classify_by_index(
     margin: float = 0.05, nearest_k: int = 2,
 ) -> DataFrame:
     """Prediction columns plus the nearest examples of each accepted code. ``df`` has ``row_id, embedding``."""
-    ranked = top_centroids(df, index.code_centroids, top_k)
+    # Written once: the predictions and the search for examples read it.
+    ranked = materialize(top_centroids(df, index.code_centroids, top_k), "ranked")
     names = index.code_centroids.select("code", F.col("code_name").alias("name"), "parent_code", "parent_name")
     out = prediction_columns(ranked, names, threshold, max_labels, top_k, margin, INDEX_RULES)
     if nearest_k < 1:

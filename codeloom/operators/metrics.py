@@ -8,14 +8,16 @@ small table. Zero divisions count as 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import pair_text, parse_annotations, parse_code_sentiments, split_codes
-from ..settings import MAX_LITERAL_CODES, collect_bounded
+from ..settings import MAX_LITERAL_CODES, collect_bounded, materialize
 from .decode import accepted, check_decode_args, gather_pair_scores, gather_scores
+from .numbering import nth_largest
 
 THRESHOLDS = [round(0.10 + 0.05 * i, 2) for i in range(17)]
 
@@ -73,64 +75,78 @@ def label_ranking_precision(ranked: Column, gold: Column, n_classes: int) -> Col
     return F.when(trivial, 1.0).otherwise(total / F.size(true))
 
 
-def _events(rows: DataFrame, top: Column, lrap: Column | None) -> DataFrame:
-    gold, pred = F.col("gold"), F.col("pred")
+_COUNTS = ("tp", "g", "p", "rows", "exact", "unknown", "single", "single_hit", "lrap")
+
+
+def _one_if(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0).cast("bigint")
+
+
+def _event_array(gold: Column, pred: Column, top: Column, lrap: Column | None, more: Callable[[Column], dict[str, Column]] | None = None) -> Column:
+    """One event for the row (label null) and one for each label that is gold or predicted; ``more`` adds counts to the latter."""
     both = F.array_intersect(gold, pred)
     single = F.size(gold) == 1
     zero = F.lit(0).cast("bigint")
-    one_if = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
     nothing = F.lit(0.0)
+    extra = list(more(F.lit("")) if more else {})
 
-    def event(label: Column, tp: Column, g: Column, p: Column, row: dict[str, Column]) -> Column:
+    def event(label: Column, tp: Column, g: Column, p: Column, row: dict[str, Column], own: dict[str, Column]) -> Column:
         names = ("rows", "exact", "unknown", "single", "single_hit")
         return F.struct(
             label.alias("label"), tp.alias("tp"), g.alias("g"), p.alias("p"),
-            *[row.get(n, zero).alias(n) for n in names], row.get("lrap", nothing).alias("lrap"),
+            *[row.get(n, zero).alias(n) for n in names], row.get("lrap", nothing).alias("lrap"), *[own.get(n, zero).alias(n) for n in extra],
         )
 
     per_row = event(F.lit(None).cast("string"), zero, zero, zero, {
         "rows": F.lit(1).cast("bigint"),
-        "exact": one_if((F.size(gold) == F.size(pred)) & (F.size(both) == F.size(gold))),
-        "unknown": one_if(F.size(pred) == 0),
-        "single": one_if(single),
-        "single_hit": one_if(single & (F.coalesce(top, F.lit("")) == F.try_element_at(gold, F.lit(1)))),
+        "exact": _one_if((F.size(gold) == F.size(pred)) & (F.size(both) == F.size(gold))),
+        "unknown": _one_if(F.size(pred) == 0),
+        "single": _one_if(single),
+        "single_hit": _one_if(single & (F.coalesce(top, F.lit("")) == F.try_element_at(gold, F.lit(1)))),
         "lrap": lrap if lrap is not None else nothing,
-    })
-    per_label = F.transform(
-        F.array_union(gold, pred),
-        lambda x: event(x, one_if(F.array_contains(both, x)), one_if(F.array_contains(gold, x)), one_if(F.array_contains(pred, x)), {}),
-    )
-    return rows.select(F.explode_outer(F.concat(F.array(per_row), per_label)).alias("e")).select("e.*")
+    }, {})
+    per_label = F.transform(F.array_union(gold, pred), lambda x: event(
+        x, _one_if(F.array_contains(both, x)), _one_if(F.array_contains(gold, x)), _one_if(F.array_contains(pred, x)), {}, more(x) if more else {}
+    ))
+    return F.concat(F.array(per_row), per_label)
 
 
 def label_cells(rows: DataFrame, top: Column | None = None, lrap: Column | None = None) -> DataFrame:
     """One row per label with tp, gold and predicted counts, and one (label null) with the row sums."""
     first = top if top is not None else F.try_element_at("pred", F.lit(1))
-    names = ("tp", "g", "p", "rows", "exact", "unknown", "single", "single_hit", "lrap")
-    return _events(rows, first, lrap).groupBy("label").agg(*[F.sum(n).alias(n) for n in names])
+    events = rows.select(F.explode_outer(_event_array(F.col("gold"), F.col("pred"), first, lrap)).alias("e")).select("e.*")
+    return events.groupBy("label").agg(*[F.sum(n).alias(n) for n in _COUNTS])
 
 
-def _overall(cells: DataFrame, n_classes: int, ranked: bool) -> DataFrame:
+def _sums(prefix: str = "", where: Column | None = None) -> list[Column]:
+    """The counts of label cells, of those ``where`` holds, and the sum of F1 over the labels."""
+    chosen = where if where is not None else F.lit(True)
     f1 = ratio(2.0 * F.col("tp"), F.col("g") + F.col("p"))
-    sums = cells.agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("tp", "g", "p", "rows", "exact", "unknown", "single", "single_hit", "lrap")],
-        F.coalesce(F.sum(F.when(F.col("label").isNotNull(), f1)), F.lit(0.0)).alias("f1_sum"),
-    )
-    wrong = F.col("g") + F.col("p") - 2 * F.col("tp")
-    out = [
-        F.col("rows").alias("n_rows"),
-        ratio(F.col("tp"), F.col("p")).alias("micro_precision"),
-        ratio(F.col("tp"), F.col("g")).alias("micro_recall"),
-        ratio(2.0 * F.col("tp"), F.col("g") + F.col("p")).alias("micro_f1"),
-        (F.col("f1_sum") / F.lit(float(n_classes))).alias("macro_f1"),
-        ratio(F.col("exact"), F.col("rows")).alias("subset_accuracy"),
-        ratio(wrong, F.col("rows") * n_classes).alias("hamming_loss"),
-        ratio(F.col("single_hit"), F.col("single"), None).alias("single_label_top1_accuracy"),
-        ratio(F.col("unknown"), F.col("rows")).alias("unknown_prediction_rate"),
-    ]
-    if ranked:
-        out.append(ratio(F.col("lrap"), F.col("rows")).alias("lrap"))
-    return sums.select(*out)
+    counts = [F.coalesce(F.sum(F.when(chosen, F.col(n))), F.lit(0)).alias(prefix + n) for n in _COUNTS]
+    return [*counts, F.coalesce(F.sum(F.when(chosen & F.col("label").isNotNull(), f1)), F.lit(0.0)).alias(f"{prefix}f1_sum")]
+
+
+def _figures(n_classes: int, prefix: str = "") -> dict[str, Column]:
+    """Metrics from the sums."""
+    c = lambda n: F.col(prefix + n)
+    wrong = c("g") + c("p") - 2 * c("tp")
+    return {
+        "n_rows": c("rows"),
+        "micro_precision": ratio(c("tp"), c("p")),
+        "micro_recall": ratio(c("tp"), c("g")),
+        "micro_f1": ratio(2.0 * c("tp"), c("g") + c("p")),
+        "macro_f1": c("f1_sum") / F.lit(float(n_classes)),
+        "subset_accuracy": ratio(c("exact"), c("rows")),
+        "hamming_loss": ratio(wrong, c("rows") * n_classes),
+        "single_label_top1_accuracy": ratio(c("single_hit"), c("single"), None),
+        "unknown_prediction_rate": ratio(c("unknown"), c("rows")),
+        "lrap": ratio(c("lrap"), c("rows")),
+    }
+
+
+def _overall(cells: DataFrame, n_classes: int, ranked: bool) -> DataFrame:
+    figures = _figures(n_classes)
+    return cells.agg(*_sums()).select(*[c.alias(n) for n, c in figures.items() if ranked or n != "lrap"])
 
 
 def overall_metrics(rows: DataFrame, classes: DataFrame | Sequence[str]) -> DataFrame:
@@ -441,40 +457,55 @@ def paired_rows(probs: DataFrame, gold: DataFrame) -> DataFrame:
 # ---- saved predictions and run statistics ----------------------------------------------------
 
 
+def _percentiles(grouped: DataFrame, n: int, shares: Sequence[float]) -> list[float]:
+    """Percentiles of ``ticks`` that occur ``n`` times in all, between the two values around each rank.
+
+    ``grouped`` has ``ticks, n``. The values at the ranks are found by counting eight bits at a time; no task holds all values.
+    """
+    if not n:
+        return [0.0] * len(shares)
+    places = sorted({i for q in shares for i in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
+    least = grouped.agg(F.min("ticks")).first()[0]
+    asked = grouped.select((F.col("ticks") - least).alias("ticks"), "n", F.explode(F.array(*[F.lit(str(i)) for i in places])).alias("place"))
+    found = nth_largest(asked, "ticks", {str(i): n - i for i in places}, "place", "n")
+    at = {i: found[str(i)][0] + least for i in places}
+    ranks = [(q * (n - 1), math.floor(q * (n - 1)), math.ceil(q * (n - 1))) for q in shares]
+    return [(at[lo] + (at[hi] - at[lo]) * (rank - lo)) / 1e4 for rank, lo, hi in ranks]
+
+
 def run_statistics(df: DataFrame, wall_seconds: float, concurrency: int) -> DataFrame:
     """Counts, latency sums and percentiles, token sums of an annotation run.
 
-    Latencies are stored with four decimals, so grouping by value first leaves few distinct values
-    for the exact percentiles, however many rows there are.
+    Latencies are stored with four decimals, so grouping by value first leaves few distinct values, however many rows there are.
     """
-    latency = F.coalesce(F.round(F.col("latency_seconds").cast("double"), 4), F.lit(0.0))
+    ticks = F.coalesce(F.round(F.col("latency_seconds").cast("double") * 10_000), F.lit(0.0)).cast("bigint")
     failed = F.coalesce("llm_error", F.lit("")) != ""
-    grouped = df.groupBy(latency.alias("latency")).agg(
+    grouped = df.groupBy(ticks.alias("ticks")).agg(
         F.count("*").alias("n"),
         F.count_if(failed).alias("failed"),
         F.count_if(F.coalesce("needs_review", F.lit(True))).alias("review"),
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt"),
         F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion"),
     )
+    grouped = materialize(grouped, "latencies")
     total = F.sum("n")
+    n = grouped.agg(F.coalesce(total, F.lit(0))).first()[0]
+    half, most = _percentiles(grouped, n, (0.5, 0.95))
     seconds = F.lit(float(wall_seconds))
-    cut = F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95)), F.col("n"))
+    latency = F.sum(F.col("ticks") / 1e4 * F.col("n"))
     return grouped.agg(
         F.coalesce(total, F.lit(0)).alias("input_rows"),
         F.coalesce(total - F.sum("failed"), F.lit(0)).alias("successful_rows"),
         F.coalesce(F.sum("failed"), F.lit(0)).alias("failed_rows"),
         F.coalesce(F.sum("review"), F.lit(0)).alias("needs_review_rows"),
         F.coalesce(F.sum("review") / total, F.lit(0.0)).alias("needs_review_rate"),
-        F.coalesce(F.sum(F.col("latency") * F.col("n")), F.lit(0.0)).alias("latency_seconds_total"),
-        F.coalesce(F.sum(F.col("latency") * F.col("n")) / total, F.lit(0.0)).alias("latency_seconds_mean"),
-        cut.alias("cut"),
+        F.coalesce(latency, F.lit(0.0)).alias("latency_seconds_total"),
+        F.coalesce(latency / total, F.lit(0.0)).alias("latency_seconds_mean"),
         F.coalesce(F.sum("prompt"), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum("completion"), F.lit(0)).alias("completion_tokens"),
     ).select(
         "input_rows", "successful_rows", "failed_rows", "needs_review_rows", "needs_review_rate", "latency_seconds_total",
-        "latency_seconds_mean",
-        F.coalesce(F.col("cut")[0], F.lit(0.0)).alias("latency_seconds_p50"),
-        F.coalesce(F.col("cut")[1], F.lit(0.0)).alias("latency_seconds_p95"),
+        "latency_seconds_mean", F.lit(half).alias("latency_seconds_p50"), F.lit(most).alias("latency_seconds_p95"),
         "prompt_tokens", "completion_tokens", seconds.alias("wall_time_seconds"),
         F.when(seconds > 0, F.col("input_rows") / seconds).otherwise(0.0).alias("throughput_rows_per_second"),
         F.lit(concurrency).alias("concurrency"),
@@ -496,16 +527,81 @@ def check_labels(df: DataFrame, column: str) -> None:
         raise ValueError(f"Column {column!r} has a cell that is no list of code and sentiment, first on line {bad[0]['row_id'] + 2}.")
 
 
+# The names of joint figures; the others of the same family are not reported.
+_JOINT = {
+    "micro_precision": "joint_micro_precision", "micro_recall": "joint_micro_recall", "micro_f1": "joint_micro_f1",
+    "macro_f1": "joint_macro_f1", "subset_accuracy": "joint_subset_accuracy",
+}
+_PAIR_COUNTS = ("pairs", "hits", "found")
+
+
+class Evaluation:
+    """Counts of gold and predicted pairs from which every family of metrics follows: one pass over the rows, one shuffle.
+
+    ``rows`` has ``gold_pairs`` and ``pred_pairs``, arrays of (code, sentiment). Rows without gold are counted and not evaluated. A cell is
+    one code, or one code with a sentiment, or the row itself (no label); cells of different tables add up.
+    """
+
+    def __init__(self, rows: DataFrame, classes: DataFrame | Sequence[str], written: bool = False):
+        self.names = class_list(classes)
+        self.spark = rows.sparkSession
+        gold, pred = F.col("gold_pairs"), F.col("pred_pairs")
+        codes = rows.select(gold, pred, _codes_of(gold).alias("_gc"), _codes_of(pred).alias("_pc"), _pair_labels(gold).alias("_gp"), _pair_labels(pred).alias("_pp"))
+        of = lambda pairs, code: F.size(F.filter(pairs, lambda p: p["code"] == code)).cast("bigint")
+
+        def sentiments(code: Column) -> dict[str, Column]:
+            pairs = of(F.array_distinct(gold), code)
+            return {"pairs": pairs, "hits": of(F.array_intersect(gold, pred), code), "found": F.when(F.array_contains("_pc", code), pairs).otherwise(0)}
+
+        first = F.try_element_at("_pc", F.lit(1))
+        by_code = _event_array(F.col("_gc"), F.col("_pc"), first, None, sentiments)
+        by_pair = _event_array(F.col("_gp"), F.col("_pp"), F.try_element_at("_pp", F.lit(1)), None, lambda code: dict.fromkeys(_PAIR_COUNTS, F.lit(0).cast("bigint")))
+        tagged = lambda events, family: F.transform(events, lambda e: F.struct(F.lit(family).alias("family"), e.alias("e")))
+        evaluated = F.concat(tagged(by_code, "code"), tagged(by_pair, "pair"))
+        # A row without gold counts as a row of its own family only.
+        alone = F.transform(F.slice(by_code, 1, 1), lambda e: F.struct(F.lit("skipped").alias("family"), e.alias("e")))
+        events = codes.select(F.explode(F.when(F.size(gold) > 0, evaluated).otherwise(alone)).alias("x")).select("x.family", "x.e.*")
+        cells = events.groupBy("family", "label").agg(*[F.sum(n).alias(n) for n in (*_COUNTS, *_PAIR_COUNTS)])
+        self.cells = materialize(cells, "evaluation") if written else cells
+
+    def statistics(self, accounting: bool = True) -> DataFrame:
+        """All figures in one row."""
+        family = F.col("family")
+        sums = self.cells.agg(
+            *_sums("code_", family == "code"), *_sums("pair_", family == "pair"),
+            *[F.coalesce(F.sum(F.when(family == "code", F.col(n))), F.lit(0)).alias(n) for n in _PAIR_COUNTS],
+            F.coalesce(F.sum(F.when(family == "skipped", F.col("rows"))), F.lit(0)).alias("skipped"),
+        )
+        rows = [
+            (F.col("code_rows") + F.col("skipped")).alias("input_rows"), F.col("code_rows").alias("evaluated_rows"),
+            F.col("skipped").alias("rows_without_known_gold_codes"),
+        ]
+        codes = [c.alias(n) for n, c in _figures(len(self.names), "code_").items() if n not in ("n_rows", "lrap")]
+        joint = [c.alias(_JOINT[n]) for n, c in _figures(3 * len(self.names), "pair_").items() if n in _JOINT]
+        sentiments = [
+            ratio(F.col("hits"), F.col("pairs"), None).alias("gold_code_sentiment_accuracy"),
+            ratio(F.col("hits"), F.col("found"), None).alias("detected_gold_sentiment_accuracy"),
+            F.col("code_g").alias("gold_codes"), F.col("code_tp").alias("detected_gold_codes"),
+            F.col("pairs").alias("gold_code_sentiment_pairs"), F.col("found").alias("gold_pairs_with_detected_code"),
+        ]
+        return sums.select(*(rows if accounting else []), *codes, *joint, *sentiments)
+
+    def per_code(self) -> DataFrame:
+        """Support, precision, recall, F1 and sentiment accuracies of every code, largest support first."""
+        base = self.spark.createDataFrame([(c,) for c in self.names], "code string")
+        counted = self.cells.where((F.col("family") == "code") & F.col("label").isNotNull()).withColumnRenamed("label", "code")
+        return base.join(counted.select("code", "tp", "g", "p", *_PAIR_COUNTS), "code", "left").na.fill(0).select(
+            "code", F.col("g").alias("support"), ratio(F.col("tp"), F.col("p")).alias("precision"), ratio(F.col("tp"), F.col("g")).alias("recall"),
+            ratio(2.0 * F.col("tp"), F.col("g") + F.col("p")).alias("f1"),
+            ratio(F.col("hits"), F.col("pairs"), None).alias("gold_code_sentiment_accuracy"),
+            ratio(F.col("hits"), F.col("found"), None).alias("detected_gold_sentiment_accuracy"),
+        ).orderBy(F.desc("support"), "code")
+
+
 def evaluate_saved(df: DataFrame, classes: DataFrame | Sequence[str], gold_col: str, pred_col: str) -> DataFrame:
-    """All metrics of a saved prediction table in one row."""
+    """All metrics of a saved prediction table in one row; its label columns are parsed once."""
     names = class_list(classes)
-    rows = saved_pair_rows(df, names, gold_col, pred_col)
-    accounting = row_accounting(presence_rows(saved_pair_rows(df, names, gold_col, pred_col, keep=True)))
-    parts = [
-        accounting, overall_metrics(presence_rows(rows), names).drop("n_rows"), joint_metrics(rows, names).drop("n_rows"),
-        sentiment_accuracy(rows, names, single=False),
-    ]
-    return side_by_side(parts)
+    return Evaluation(saved_pair_rows(df, names, gold_col, pred_col, keep=True), names).statistics()
 
 
 def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:

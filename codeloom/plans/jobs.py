@@ -14,13 +14,13 @@ from ..functions.text import clean_text, combine_text
 from ..operators import annotation as ann
 from ..operators import metrics as mx
 from ..operators.codebook import assignable_codes, enrich, unknown_codes
-from ..operators.decode import ENCODER_RULES, LINEAR_RULES, PAIR_RULES, DecodeRules, gather_pair_scores, gather_scores, prediction_columns, prediction_report
+from ..operators.decode import ENCODER_RULES, LINEAR_RULES, PAIR_RULES, DecodeRules, pair_prediction_report, prediction_columns, prediction_report, rank_arrays, rank_pair_arrays
 from ..operators.index import EmbeddingIndex, Encoder, build_index, classify_by_index, encode
-from ..operators.linear import TextModel, cut_and_fit, score_texts
+from ..operators.linear import TextModel, cut_and_fit, score_arrays, score_texts
 from ..operators.mining import class_sizes, contrastive_negatives, mining_tables, positive_pairs, triplets
 from ..operators.pairs import build_pairs, class_weights, pair_distribution
 from ..operators.responses import attach, explode_codes, parse_responses, require_columns, require_rows, usable_rows
-from ..operators.scorers import MultilabelModel, PairModel, rescore, score_multilabel
+from ..operators.scorers import MultilabelModel, PairModel, long_pairs, multilabel_arrays, pair_arrays, pair_codes
 from ..operators.splits import ensure_train_coverage, in_split, label_distribution, split_summary, split_train_val_test, stratum_of_annotations, stratum_of_codes
 from ..settings import fresh_path, materialize
 from ..sources.ledger import Ledger
@@ -45,10 +45,8 @@ def train_text_model(
     split = ensure_train_coverage(split_train_val_test(rows, val, test, seed))
     split = materialize(split, "split-responses")
     train = split.where(F.col("split") == "train")
-    model, features = cut_and_fit(
-        split, train, min_df=min_df, word_features=word_features, char_features=char_features, C=C, max_iter=max_iter
-    )
-    scores = materialize(score_texts(model, split, features), "split-scores")
+    model = cut_and_fit(split, train, min_df=min_df, word_features=word_features, char_features=char_features, C=C, max_iter=max_iter)
+    scores = materialize(score_texts(model, split), "split-scores")
     gold = split.select("row_id", "split", F.col("codes").alias("gold"))
     val_gold = gold.where(F.col("split") == "val")
     threshold = mx.threshold_search(scores.join(val_gold, "row_id", "left_semi"), val_gold, model.classes, metric, max_labels)
@@ -75,7 +73,8 @@ def train_text_model(
 def _source_with_text(df: DataFrame, text_col: str, context_col: str | None, prefix: str | None = None) -> DataFrame:
     require_columns(df, [c for c in ("row_id", text_col, context_col) if c])
     context = F.col(context_col) if context_col else None
-    return df.select("row_id", combine_text(F.col(text_col), context, prefix).alias("text"), clean_text(F.col(text_col)).alias("answer"))
+    shown = clean_text(context) if context is not None else F.lit("")
+    return df.select("row_id", combine_text(F.col(text_col), context, prefix).alias("text"), clean_text(F.col(text_col)).alias("answer"), shown.alias("context"))
 
 
 def _finish(source: DataFrame, predictions: DataFrame, classes: list[str], gold_col: str | None, out: str | None) -> DataFrame:
@@ -99,7 +98,7 @@ def classify_with_text_model(
 ) -> DataFrame:
     """The test for an empty text is on the combined text, so a context makes it non-empty."""
     texts = _source_with_text(df, text_col, context_col)
-    gathered = gather_scores(score_texts(model, texts)).join(texts.select("row_id", (F.col("text") == "").alias("blank_text")), "row_id")
+    gathered = rank_arrays(score_arrays(model, texts, (F.col("text") == "").alias("blank_text")), model.classes)
     chosen = model.threshold if threshold is None else threshold
     predictions = prediction_columns(
         gathered, codebook, chosen, max_labels or model.max_labels, top_k, margin, LINEAR_RULES, blank=F.col("blank_text")
@@ -113,8 +112,8 @@ def classify_with_scorer(
     batch_size: int = 64, rules: DecodeRules = ENCODER_RULES, out: str | None = None,
 ) -> DataFrame:
     """Multi-label classification with any model that maps texts to one score per class."""
-    scores = score_multilabel(_source_with_text(df, text_col, context_col), scorer, classes, batch_size)
-    predictions = prediction_columns(gather_scores(scores), codebook, threshold, max_labels, top_k, margin, rules)
+    scored = multilabel_arrays(_source_with_text(df, text_col, context_col), scorer, classes, batch_size)
+    predictions = prediction_columns(rank_arrays(scored, classes), codebook, threshold, max_labels, top_k, margin, rules)
     return _finish(df, predictions, classes, gold_col, out)
 
 
@@ -128,18 +127,19 @@ def classify_with_pair_model(
     With ``out`` and gold columns the predictions are evaluated: statistics, a report per code, one per model class, and the
     rows that differ are written beside them. Rows with conflicting gold are counted and left out; other faults are errors.
     """
-    texts = _source_with_text(df, text_col, context_col, prefix).withColumn("context", F.lit(""))
+    texts = _source_with_text(df, text_col, context_col, prefix)
     leaves = assignable_codes(codebook)
     gold = _pair_gold(df, gold_codes_col, gold_sentiments_col, leaves) if out and gold_codes_col else None
-    probs = rescore(texts, codebook, model, batch_size)
+    scored, codes = pair_arrays(texts, codebook, model, batch_size), pair_codes(codebook)
     if gold is not None:
-        probs = materialize(probs, "pair-probabilities")
-    predictions = prediction_columns(
-        gather_pair_scores(probs), codebook, threshold, max_labels, top_k, margin, PAIR_RULES, with_sentiments=True
-    )
+        scored = materialize(scored, "pair-probabilities")
+    predictions = prediction_columns(rank_pair_arrays(scored, codes), codebook, threshold, max_labels, top_k, margin, PAIR_RULES, with_sentiments=True)
     stored = _finish(df, predictions, leaves, None, out)
     if gold is not None:
-        _evaluate_pairs(stored, probs, gold, leaves, out)
+        _evaluate_pairs(stored, long_pairs(scored, codes), gold, leaves, out)
+        rows = texts.join(gold.where("valid"), "row_id").select("row_id", "answer", "context", F.col("gold_pairs").alias("annotations"))
+        report = pair_prediction_report(rows, scored, codebook, threshold, max_labels)
+        write_table(report, report_paths(out)["pair_predictions"], "csv")
     return stored
 
 
@@ -271,14 +271,13 @@ def annotate(
     result = attach(df, columns)
     result.write.mode("overwrite").parquet(target)
     stored = spark.read.schema(result.schema).parquet(target)
-    stats = mx.run_statistics(stored, wall_seconds, concurrency)
+    stats, per_code, errors = mx.run_statistics(stored, wall_seconds, concurrency), None, None
     if gold_col:
-        quality = mx.evaluate_saved(stored, codes, gold_col, "predicted_code_sentiments").drop("input_rows")
-        stats = mx.side_by_side([stats, quality])
+        rows = mx.saved_pair_rows(stored, codes, gold_col, "predicted_code_sentiments", keep=True)
+        evaluation = mx.Evaluation(rows, codes, written=True)
+        stats, per_code = mx.side_by_side([stats, evaluation.statistics().drop("input_rows")]), evaluation.per_code()
+        errors = mx.error_rows(rows.where(F.size("gold_pairs") > 0), "gold_pairs", "pred_pairs").drop("gold_pairs", "pred_pairs")
     if out:
-        rows = mx.saved_pair_rows(stored, codes, gold_col, "predicted_code_sentiments") if gold_col else None
-        per_code = mx.joint_report(rows, codes) if rows is not None else None
-        errors = mx.error_rows(rows, "gold_pairs", "pred_pairs").drop("gold_pairs", "pred_pairs") if rows is not None else None
         write_reports(out, stats, per_code, errors)
     return stored, stats
 
@@ -294,12 +293,12 @@ def evaluate_saved_job(
     """
     stored = spark.read.format(fmt).load(path)
     codes = assignable_codes(codebook, fallback_to_all=True)
-    quality = mx.evaluate_saved(stored, codes, gold_col, pred_col)
-    rows = mx.saved_pair_rows(stored, codes, gold_col, pred_col)
-    merged, report = mx.merge_statistics(existing or {}, quality.first().asDict()), mx.joint_report(rows, codes)
+    rows = mx.saved_pair_rows(stored, codes, gold_col, pred_col, keep=True)
+    evaluation = mx.Evaluation(rows, codes, written=True)
+    merged, report = mx.merge_statistics(existing or {}, evaluation.statistics().first().asDict()), evaluation.per_code()
     if out:
         paths = report_paths(out)
         write_config(spark, merged, paths["stats"])
         write_table(report, paths["per_class"], "csv")
-        write_table(mx.error_rows(rows, "gold_pairs", "pred_pairs").drop("gold_pairs", "pred_pairs"), paths["errors"], "csv")
+        write_table(mx.error_rows(rows.where(F.size("gold_pairs") > 0), "gold_pairs", "pred_pairs").drop("gold_pairs", "pred_pairs"), paths["errors"], "csv")
     return merged, report

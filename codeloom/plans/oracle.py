@@ -338,6 +338,31 @@ def oracle_sql() -> dict[str, str]:
             "pt AS (SELECT *, unnest(range(m)) AS t FROM pn), "
             "pk AS (SELECT code, n, t * (total // m) + least(t, total % m) + ('0x' || substring(md5('42|pair|' || code || '|' || t), 1, 8))::BIGINT % (total // m + CASE WHEN t < total % m THEN 1 ELSE 0 END) AS p FROM pt)"
         ))
+    complements = (
+        "po AS (SELECT code, md5(text) AS d, min(row_id) AS f, count(DISTINCT row_id) AS held FROM long GROUP BY ALL), "
+        "pn AS (SELECT code, count(*) AS n, count(*) * (count(*) - 1) // 2 AS total, least(count(*) * (count(*) - 1) // 2, 5000) AS m FROM po GROUP BY code HAVING count(*) >= 10), "
+        "pu AS (SELECT md5(text) AS d, min(row_id) AS f, count(DISTINCT row_id) AS uses FROM long GROUP BY ALL), "
+        "pa AS (SELECT code, d, po.f, held = uses AS own, row_number() OVER (PARTITION BY code, held = uses ORDER BY d) - 1 AS i FROM po JOIN pn USING (code) JOIN pu USING (d)), "
+        "pc AS (SELECT code, u.d, u.f, row_number() OVER (PARTITION BY code ORDER BY u.d) - 1 AS k FROM pn CROSS JOIN pu u WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.code = pn.code AND pa.d = u.d AND own)), "
+        "ps AS (SELECT code, n, total, m, (SELECT count(*) FROM pa WHERE pa.code = pn.code AND own) AS owned, (SELECT count(*) FROM pc WHERE pc.code = pn.code) AS v FROM pn)"
+    )
+
+    def drawn(name: str, total: str, wanted: str, key: str) -> str:
+        numbers = f"SELECT code, {total} AS cells, least({total}, {wanted}) AS w FROM ps"
+        return (
+            f"{name} AS (SELECT code, w, t, t * (cells // w) + least(t, cells % w) + ('0x' || substring(md5('42|{key}|' || code || '|' || t), 1, 8))::BIGINT % (cells // w + CASE WHEN t < cells % w THEN 1 ELSE 0 END) AS p "
+            f"FROM (SELECT *, unnest(range(w)) AS t FROM ({numbers}) WHERE w > 0))"
+        )
+
+    sql["negative_candidates"] = build("SELECT code, k, f AS row FROM pc", "long", extra=complements)
+    sql["contrastive_negatives"] = build(
+        "SELECT x.code, pa.f AS row_a, pc.f AS row_b, 0.0::DOUBLE AS label, 'negative' AS sample_type FROM px x JOIN pa USING (code, own, i) LEFT JOIN pc self ON self.code = x.code AND self.d = pa.d AND NOT x.own "
+        "JOIN pc ON pc.code = x.code AND pc.k = CASE WHEN x.own OR x.j < self.k THEN x.j ELSE x.j + 1 END",
+        "long", extra=complements + ", " + drawn("pd", "owned * v + (n - owned) * greatest(v - 1, 0)", "m", "cell")
+        + ", px AS (SELECT code, p < owned * v AS own, CASE WHEN p < owned * v THEN p // v ELSE (p - owned * v) // (v - 1) END AS i, CASE WHEN p < owned * v THEN p % v ELSE (p - owned * v) % (v - 1) END AS j FROM pd JOIN ps USING (code))")
+    sql["triplets"] = build(
+        "SELECT code, least(a.f, b.f) AS row_a, greatest(a.f, b.f) AS row_b, pc.f AS row_n FROM pd x JOIN ps USING (code) JOIN pr a USING (code) JOIN pr b USING (code) JOIN pg ON pg.code = x.code AND pg.t = x.t % pg.w JOIN pc ON pc.code = x.code AND pc.k = pg.p WHERE a.r = x.p % n AND b.r = (x.p % n + x.p // n + 1) % n".replace("SELECT code,", "SELECT x.code,"),
+        "long", extra=complements + ", pr AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d) - 1 AS r FROM po), " + drawn("pd", "total", "m", "pair") + ", " + drawn("pg", "v", "m", "negative"))
     sql["negatives_audit"] = build("SELECT code, least(count(DISTINCT text) * (count(DISTINCT text) - 1) // 2, 5000) AS n_pairs, least(count(DISTINCT text) * (count(DISTINCT text) - 1) // 2, 5000) AS n_distinct, 0::BIGINT AS n_wrong FROM long GROUP BY code HAVING count(DISTINCT text) >= 10", "long")
     sql["training_tables"] = build(
         "SELECT 'pairs' AS table_name, split || ':' || label AS part, count(*) AS n FROM (SELECT split, unnest(list_concat(list_transform(ps, lambda p: p.s + 1), list_transform(range(least(3 * greatest(len(ps), 1), 10 - len(ps))), lambda i: 0))) AS label FROM tann JOIN assigned USING (row_id)) GROUP BY split, label"
@@ -450,7 +475,20 @@ def oracle_sql() -> dict[str, str]:
     sql["model_summary"] = build(
         "SELECT count(*) AS n_features, count(*) FILTER (space = 'word') AS n_word_features, count(*) FILTER (space = 'char') AS n_char_features, (SELECT count(DISTINCT code) FROM long)::INT AS n_classes FROM vocab",
         "long", extra=labelled)
-    sql["linear_optimality"] = build("SELECT DISTINCT code, true AS at_optimum FROM long", "long")
+    sides = (
+        "lk AS (SELECT DISTINCT row_id FROM terms JOIN vocab USING (space, term)), lt AS (SELECT count(*) AS total FROM lk), "
+        "lo AS (SELECT row_id, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS n FROM lk), "
+        "lc AS (SELECT code, row_id, TRUE AS has FROM long JOIN lk USING (row_id)), "
+        "lf AS (SELECT code FROM lc, lt GROUP BY code, total HAVING count(*) * 2 > total), "
+        "ls AS (SELECT * FROM lc UNION ALL SELECT code, row_id, FALSE FROM lf CROSS JOIN lk WHERE NOT EXISTS (SELECT 1 FROM lc WHERE lc.code = lf.code AND lc.row_id = lk.row_id)), "
+        "lw AS (SELECT code, has, row_id FROM (SELECT *, row_number() OVER (PARTITION BY code, has ORDER BY n) AS nth FROM ls JOIN lo USING (row_id)) WHERE nth <= 200 AND n > 5000), "
+        "lp AS (SELECT k.code, (SELECT count(*) FROM lc JOIN lo USING (row_id) WHERE lc.code = k.code AND n <= 5000) AS shared, "
+        "(SELECT count(*) FROM lw WHERE lw.code = k.code AND has) AS own_with, (SELECT count(*) FROM lw WHERE lw.code = k.code AND NOT has) AS own_without FROM (SELECT DISTINCT code FROM long) k), "
+        "lq AS (SELECT code, shared + own_with AS positives, least(total, 5000) - shared + own_without AS negatives, total FROM lp, lt)"
+    )
+    weigh = lambda c: f"round(CASE WHEN {c} > 0 THEN total / (2.0::DOUBLE * {c}) ELSE 1 END, 6) + 0.0::DOUBLE"
+    sql["linear_optimality"] = build(
+        f"SELECT code, positives, negatives, {weigh('positives')} AS positive_weight, {weigh('negatives')} AS negative_weight, true AS at_optimum FROM lq", "long", extra=labelled + ", " + sides)
     sql["multi_hot_labels"] = build("SELECT row_id, code, 1 AS label FROM long WHERE code <> 'A1'", "long")
     # projection
     sql["minmax_scaled"] = f"SELECT doc_id, n_chars, {r6('960::DOUBLE + (n_chars - min(n_chars) OVER ()) * (-920)::DOUBLE / (max(n_chars) OVER () - min(n_chars) OVER ())')} AS y FROM documents"

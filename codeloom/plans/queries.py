@@ -254,6 +254,12 @@ def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("code", "row_a", "row_b", F.md5("text_a").alias("a"), F.md5("text_b").alias("b"), "label")
 
 
+@query
+def negative_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without a code, found by its position."""
+    return mining.negative_candidates(_long(spark, sf_dir))
+
+
 @query
 def contrastive_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mining.contrastive_negatives(_long(spark, sf_dir), 10, 5000, seed=42)
@@ -580,15 +586,14 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.vocabulary(ft.text_terms(views.texts(spark, sf_dir)))
+    return ft.vocabulary(ft.term_counts(views.texts(spark, sf_dir)))
 
 
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = views.texts(spark, sf_dir)
-    terms = materialize(ft.text_terms(texts), "terms")
-    vocab = ft.with_idf(ft.vocabulary(terms), texts.agg(F.count("*")).scalar())
-    return _rounded(ft.tfidf(terms, vocab), 5)
+    vocab = materialize(ft.with_index(ft.vocabulary(ft.term_counts(texts)), F.lit(texts.count())), "vocab")
+    return _rounded(ft.tfidf(texts, vocab), 5)
 
 
 @query
@@ -603,8 +608,7 @@ def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled_texts(spark, sf_dir)
-    model, features = linear.cut_and_fit(rows)
-    return _rounded(linear.score_texts(model, rows, features), 4)
+    return _rounded(linear.score_texts(linear.cut_and_fit(rows), rows), 4)
 
 
 @query
@@ -617,10 +621,9 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def linear_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the gradient of the training loss vanishes at the fitted weights of each code, computed anew from the tables."""
+    """What each code was fitted on, and whether the gradient of the training loss vanishes at its weights, computed anew from the tables."""
     rows = _labelled_texts(spark, sf_dir)
-    model, features = linear.cut_and_fit(rows)
-    return linear.optimality(model, features, rows)
+    return _rounded(linear.optimality(linear.cut_and_fit(rows), rows))
 
 
 # ---- projection ------------------------------------------------------------------------------
@@ -769,8 +772,7 @@ def stub_scores_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stub_scores_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scorer_rows(spark, sf_dir).withColumn("annotations", F.array().cast("array<struct<code:string,sentiment:int>>"))
-    probs = scorers.score_pairs(pairs.full_pairs(rows, views.codebook(spark)), _stub_pairs)
+    probs = scorers.rescore(_scorer_rows(spark, sf_dir), views.codebook(spark), _stub_pairs)
     return _rounded(probs.select("row_id", "code", F.posexplode("probs").alias("pair_class", "p")))
 
 
@@ -778,8 +780,8 @@ def stub_scores_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescored_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scorer under a codebook with other names and fewer codes."""
     other = views.codebook(spark).where(F.col("parent_code") != "B").withColumn("description", F.concat("description", F.lit(" (new)")))
-    probs = scorers.rescore(_scorer_rows(spark, sf_dir), other, _stub_pairs)
-    return _rounded(dec.decode_sentiment(probs, THRESHOLD, MAX_LABELS))
+    scored = scorers.pair_arrays(_scorer_rows(spark, sf_dir), other, _stub_pairs)
+    return _rounded(dec.decode_sentiment(dec.rank_pair_arrays(scored, scorers.pair_codes(other)), THRESHOLD, MAX_LABELS))
 
 
 @query

@@ -62,11 +62,48 @@ def test_split_contract(spark):
         splits.split_train_val_test(wide(spark), 0.6, 0.5)
 
 
-def test_quotas():
-    assert splits.holdout_quotas({"a": 10, "b": 30}, 0.1) == (True, {"a": 1, "b": 3})
-    assert splits.holdout_quotas({"a": 1, "b": 30}, 0.1) == (False, {"": 4})
-    assert splits.holdout_quotas({"a": 2}, 0.99) == (False, {"": 1})
-    assert splits.holdout_quotas({"a": 5}, 0.0) == (False, {"": 0})
+def held_out(spark, sizes, size):
+    """Rows held out of each stratum, and whether strata were kept apart."""
+    rows = [(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)]
+    keys = spark.createDataFrame(rows, "row_id string, stratum string")
+    holdout = splits.Holdout(keys, size, 3, True)
+    marked = holdout.mark(keys, "held").where("held").groupBy("stratum").count().collect()
+    return holdout.stratified, {r["stratum"]: r["count"] for r in marked}
+
+
+def test_quotas(spark):
+    assert held_out(spark, {"a": 10, "b": 30}, 0.1) == (True, {"a": 1, "b": 3})
+    # 4 rows of 1 + 7 + 13 + 15: one each by remainder.
+    assert held_out(spark, {"a": 15, "b": 7, "c": 14}, 0.1) == (True, {"a": 2, "b": 1, "c": 1})
+    for sizes, size, total in (({"a": 1, "b": 30}, 0.1, 4), ({"a": 2}, 0.99, 1), ({"a": 5}, 0.0, 0), ({}, 0.5, 0)):
+        stratified, found = held_out(spark, sizes, size)
+        assert not stratified and sum(found.values()) == total
+
+
+def test_many_strata(spark):
+    """More strata than any table that a driver should hold as a literal."""
+    df = spark.range(60_000).selectExpr("id AS row_id", "concat('s', id % 20000) AS stratum")
+    done = splits.split_train_val_test(df, 0.0, 0.34)
+    counts = done.groupBy("stratum").agg(F.count_if(F.col("split") == "test").alias("test"), F.count("*").alias("n"))
+    assert counts.agg(F.min("test"), F.max("test"), F.sum("test"), F.count("*")).first()[:] == (1, 2, 20_400, 20_000)
+
+
+def test_coverage_moves_one_row_for_keys_that_share_it(spark):
+    rows = [
+        (1, "train", ["z"]), (2, "test", ["a", "c"]), (3, "val", ["b", "c"]), (4, "val", ["c"]), (5, "test", ["a"]), (6, "val", ["d", "e"]),
+        (7, "val", ["e", "f"]), (8, "test", ["f"]), (9, "val", ["z"]),
+    ]
+    df = spark.createDataFrame(rows, "row_id bigint, split string, codes array<string>")
+    got = {r.row_id: r.split for r in splits.ensure_train_coverage(df).collect()}
+    # In the order of keys: a moves 2 (and covers c), b moves 3, d moves 6 (and covers e), f moves 7.
+    assert sorted(n for n, s in got.items() if s == "train") == [1, 2, 3, 6, 7]
+    assert splits.ensure_train_coverage(df.where("row_id = 1")).collect()[0].split == "train"
+
+
+def test_coverage_of_many_missing_keys(spark):
+    df = spark.range(20_000).selectExpr("id AS row_id", "if(id < 5, 'train', 'val') AS split", "array(concat('k', id), concat('k', id + 1)) AS codes")
+    done = splits.ensure_train_coverage(df.where("row_id % 2 = 0 OR row_id < 5"))
+    assert done.where("split = 'train'").selectExpr("explode(codes) AS k").distinct().count() == done.selectExpr("explode(codes) AS k").distinct().count()
 
 
 def test_coverage(spark):

@@ -1,4 +1,7 @@
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +48,56 @@ def test_negatives_and_triplets_against_brute_force(spark):
     assert len(triples) == 30 and all(r["negative"] in candidates and r["anchor"] in own and r["positive"] in own for r in triples)
 
 
+def all_candidates(rows, code):
+    """Texts without the code, in the order of their digests, with their first row."""
+    of = {}
+    for r in rows:
+        of.setdefault(r["text"], {}).setdefault(r["row_id"], set()).add(r["code"])
+    texts = [t for t, uses in of.items() if any(code not in codes for codes in uses.values())]
+    return [(t, min(of[t])) for t in sorted(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())]
+
+
+def shared_texts(spark, n=60):
+    """Texts with several responses, some of them with and some without a code; one code on two thirds of all."""
+    rows = []
+    for i in range(n):
+        codes = {"HOT"} if i % 3 else {"COLD"}
+        codes |= {"SOME"} if i % 4 == 0 else set()
+        rows += [(i, f"text {i % 25}", c) for c in codes]
+    return spark.createDataFrame(rows, "row_id bigint, text string, code string").repartition(4)
+
+
+def test_candidates_by_position(spark):
+    long = shared_texts(spark)
+    rows = long.collect()
+    got = {}
+    for r in mining.negative_candidates(long, 2).collect():
+        got.setdefault(r["code"], {})[r["k"]] = r["row"]
+    for code in ("HOT", "COLD", "SOME"):
+        want = [row for _, row in all_candidates(rows, code)]
+        assert [got.get(code, {})[k] for k in range(len(want))] == want and len(got.get(code, {})) == len(want)
+    found = mining.complements(mining.mining_tables(long), long.select("code"))
+    # Back from the text to its place among the candidates.
+    numbered = found.texts.select("g", "row")
+    asked = mining.candidates_at(found, found.sizes.selectExpr("code", "explode(sequence(0L, n_candidates - 1)) AS k"))
+    places = mining.candidate_positions(found, asked.withColumnRenamed("k", "wanted").join(numbered, "row").select("code", "g", "wanted"))
+    assert places.where("k <> wanted").count() == 0 and places.count() == sum(len(v) for v in got.values())
+
+
+def test_all_cells_of_small_classes(spark):
+    """With more pairs wanted than there are, every pair of a text and a candidate that are not the same comes once."""
+    long = shared_texts(spark)
+    rows = long.collect()
+    pairs = mining.contrastive_negatives(long, 2, 10_000, ratio=50.0, seed=3).collect()
+    for code in ("HOT", "COLD", "SOME"):
+        own = {r["text"] for r in rows if r["code"] == code}
+        want = {(a, b) for a in own for b, _ in all_candidates(rows, code) if a != b}
+        got = [(r["text_a"], r["text_b"]) for r in pairs if r["code"] == code]
+        assert len(got) == len(set(got)) and set(got) == want
+    few = mining.contrastive_negatives(long, 2, 10_000, ratio=50.0, cap=7, seed=3).collect()
+    assert {c: sum(r["code"] == c for r in few) for c in ("HOT", "COLD", "SOME")} == {"HOT": 7, "COLD": 7, "SOME": 7}
+
+
 def brute_force_terms(text):
     grams = []
     for word in text.lower().split():
@@ -64,6 +117,42 @@ def test_char_ngrams(spark):
     assert df.select(ft.word_ngrams(F.col("text")).alias("g")).first()["g"] == ["to", "be", "or", "not", "üb", "to be", "be or", "or not", "not üb"]
 
 
+def test_counts_in_the_task_equal_counts_by_columns(spark, monkeypatch):
+    texts = ["To be  or\tnot Üb a", "", None, "be be BE or", "_x 12 a1 日本語 ñandú", "a" * 300 + " \u00a0 x\x1cy", "or or not to be"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string")
+    filled = df.na.fill("", ["text"])
+    want = {(r.space, r.term): (r.df, r.cf) for r in ft.vocabulary(ft.text_terms(filled), 1, None, None).collect()}
+    assert {(r.space, r.term): (r.df, r.cf) for r in ft.term_counts(df).collect()} == want
+    # A task that hands on its counts early gives the same sums.
+    monkeypatch.setattr(ft, "MAX_LOCAL_TERMS", 3)
+    parts = list(ft._count_terms(iter([pa.RecordBatch.from_pydict({"row_id": list(range(7)), "text": [(t or "").lower() for t in texts]})])))
+    assert len(parts) > 4
+    summed = {}
+    for part in parts:
+        for r in part.to_pylist():
+            old = summed.get((r["space"], r["term"]), (0, 0))
+            summed[r["space"], r["term"]] = (old[0] + r["df"], old[1] + r["cf"])
+    assert summed == want
+
+
+def test_sparse_rows_equal_the_join(spark, monkeypatch):
+    texts = ["to be or not", "be or be", "nothing known", "", "not to be or", "日本語 or to be"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string")
+    vocab = ft.with_index(ft.vocabulary(ft.term_counts(df.where("row_id <> 2"))), F.lit(5)).cache()
+    assert sorted(r.idx for r in vocab.collect()) == list(range(vocab.count()))
+    order = [(r.space, r.term) for r in vocab.orderBy("idx").collect()]
+    assert order == sorted((x for x in order if x[0] == "word")) + sorted(x for x in order if x[0] == "char")
+    read = lambda: {r.row_id: list(zip(r.indices, [round(v, 9) for v in r.values], strict=True)) for r in ft.sparse_rows(df, vocab).collect()}
+    sent = read()
+    assert set(sent) == {r.row_id for r in ft.rows_with_terms(df, vocab).collect()} and 3 not in sent
+    plan = ft.sparse_rows(df, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    weights = {(r.row_id, r.term): r.weight for r in ft.tfidf(df, vocab).collect()}
+    monkeypatch.setattr(ft, "MAX_SENT_BYTES", 0)
+    assert ft.send_vocabulary(vocab) is None and read() == sent
+    assert {(r.row_id, r.term): round(r.weight, 9) for r in ft.tfidf(df, vocab).collect()} == {k: round(w, 9) for k, w in weights.items()}
+
+
 def test_vocabulary_limit_with_ties(spark):
     df = spark.createDataFrame([(i, "aa bb cc dd" if i < 3 else "aa bb") for i in range(5)], "row_id bigint, text string")
     kept = {r["term"] for r in ft.vocabulary(ft.word_terms(df), 2, 3, None).collect()}
