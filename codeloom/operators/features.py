@@ -436,6 +436,9 @@ class TermTable:
         return indices[order].astype(np.int32), values[order]
 
     def knows(self, text: str) -> bool:
+        """Whether the text has a known term; one known token is enough, which nearly every text has."""
+        if any(self.single[self.tokens.get(t, -1)] >= 0 for t in _TOKEN.findall(text)):
+            return True
         return bool(len(self.chars(text)[0]) or len(self.words(text)[0]))
 
 
