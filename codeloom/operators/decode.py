@@ -317,9 +317,9 @@ def pair_prediction_report(
         F.slice("ranked", 1, 5).alias("shown"),
     )
     text = lambda pairs: or_unknown(F.array_join(F.transform(pairs, pair_text), ", "))
-    candidate = lambda c: F.concat_ws(":", c["code"], F.format_number(c["score"], "0.0000"), c["sentiment"].cast("string"))
+    digits = F.create_map(*[x for n in range(len(SENTIMENT_NAMES)) for x in (F.lit(n), F.lit(str(n)))])
     return chosen.select(
         "row_id", "answer", "context", text(F.col("gold")).alias("true_code_sentiments"), text(F.col("pred")).alias("predicted_code_sentiments"),
-        F.array_join(F.transform("shown", candidate), "; ").alias("top_candidates"), (F.col("gold") == F.col("pred")).alias("correct"),
+        format_candidates(F.col("shown"), digits).alias("top_candidates"), (F.col("gold") == F.col("pred")).alias("correct"),
         F.array_join(F.transform("pred", lambda p: F.get(names, (p["at"] - 1).cast("int"))), "; ").alias("predicted_names"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import drop_unknown, parent_code, parse_annotations, split_codes
 from ..functions.text import clean_text, combine_text
-from ..settings import UNKNOWN
+from ..settings import MAX_LITERAL_CODES, UNKNOWN, collect_bounded
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -57,9 +57,9 @@ def explode_codes(df: DataFrame) -> DataFrame:
 
 
 def rows_with_known_codes(df: DataFrame, codebook: DataFrame) -> DataFrame:
-    """Rows all of whose codes are in the codebook."""
-    bad = explode_codes(df.select("row_id", "codes")).join(codebook.select("code"), "code", "left_anti")
-    return df.join(bad.select("row_id"), "row_id", "left_anti")
+    """Rows all of whose codes are in the codebook, a literal of checked size: a test in the row."""
+    known = F.array(*[F.lit(r["code"]) for r in collect_bounded(codebook.select("code"), MAX_LITERAL_CODES, "The codebook")]).cast("array<string>")
+    return df.where(F.size(F.array_except("codes", known)) == 0)
 
 
 def parse_annotated(
@@ -170,5 +170,6 @@ def single_label_corpus(
 
 
 def attach(source: DataFrame, predictions: DataFrame) -> DataFrame:
-    """All source columns plus the predictions, by row key."""
-    return source.join(predictions, "row_id", "left")
+    """All source columns plus the predictions, by row key. Columns of an earlier run with the same names are replaced."""
+    again = [c for c in predictions.columns if c != "row_id" and c in source.columns]
+    return source.drop(*again).join(predictions, "row_id", "left")

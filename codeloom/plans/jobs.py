@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import metrics as mx
 from ..operators.codebook import assignable_codes, enrich, unknown_codes
 from ..operators.decode import ENCODER_RULES, LINEAR_RULES, PAIR_RULES, DecodeRules, pair_prediction_report, prediction_columns, prediction_report, rank_arrays, rank_pair_arrays
 from ..operators.index import EmbeddingIndex, Encoder, build_index, classify_by_index, encode
-from ..operators.linear import TextModel, cut_and_fit, score_arrays, score_texts
+from ..operators.linear import MAX_FIT_ENTRIES, MAX_FIT_ROWS, TextModel, cut_and_fit, model_summary, score_arrays, score_texts
 from ..operators.mining import class_sizes, contrastive_negatives, mining_tables, positive_pairs, triplets
 from ..operators.pairs import build_pairs, class_weights, pair_distribution
 from ..operators.responses import attach, explode_codes, parse_responses, require_columns, require_rows, usable_rows
@@ -67,9 +68,28 @@ def train_text_model(
         for name, table in reports.items():
             if name != "splits":
                 write_table(table, f"{out}/reports/{name}", "parquet")
+        sizes = model_summary(model).first().asDict()
+        settings = {
+            "model_type": "tfidf_one_vs_rest_logistic", "text_col": text_col, "codes_col": codes_col, "context_col": context_col, "seed": seed, "val": val, "test": test,
+            "min_df": min_df, "word_ngrams": [1, 2], "char_ngrams": [3, 5], "word_features": word_features, "char_features": char_features, "C": C,
+            "max_iter": max_iter, "max_rows": MAX_FIT_ROWS, "max_entries": MAX_FIT_ENTRIES, "threshold_metric": metric, "threshold": threshold, "max_labels": max_labels,
+        }
+        write_config(df.sparkSession, run_report(df, split, settings | sizes | {"classes": model.classes, "without_rows": model.config["without_rows"]}, {
+            name: reports[f"{name}_metrics"].first().asDict() for name in ("train", "val", "test")
+        }), f"{out}/config")
     return model, reports
 
 
+def run_report(source: DataFrame, split: DataFrame, settings: dict, metrics: dict | None = None) -> dict:
+    """The configuration of a run as one document: when, all settings, what was read and used, rows of each split, metrics of each split."""
+    rows = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    read, used = source.count(), sum(rows.values())
+    return settings | {
+        "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "split_rows": {name: rows.get(name, 0) for name in ("train", "val", "test")},
+        "data_report": {"rows_read": read, "rows_used": used, "rows_skipped": read - used}, "metrics": metrics or {},
+    }
+
+
 def _source_with_text(df: DataFrame, text_col: str, context_col: str | None, prefix: str | None = None) -> DataFrame:
     require_columns(df, [c for c in ("row_id", text_col, context_col) if c])
     context = F.col(context_col) if context_col else None
@@ -204,6 +224,11 @@ def build_index_job(
         save_index(index, f"{out}/index")
         save_splits(split, f"{out}/splits")
         write_table(split_summary(explode_codes(split.select("row_id", "split", "codes"))), f"{out}/split_summary", "parquet")
+        settings = {
+            "model_type": "embedding_index", "text_col": text_col, "codes_col": codes_col, "context_col": context_col, "use": use, "val": val, "test": test, "seed": seed,
+            "input_prefix": prefix,
+        }
+        write_config(df.sparkSession, run_report(df, split, settings), f"{out}/config")
     return index, split
 
 
@@ -237,6 +262,9 @@ def prepare_training_tables(
     if out:
         for name, table in tables.items():
             write_table(table, f"{out}/{name}", "parquet")
+        by_split = df.sparkSession.read.parquet(f"{out}/pairs").groupBy("split").agg(F.count("*").alias("n")).collect()
+        settings = {"negative_ratio": negative_ratio, "seed": seed, "min_class_size": min_class_size, "max_pairs": max_pairs, "model_classes": ["absent", "neutral", "positive", "negative"]}
+        write_config(df.sparkSession, run_report(df, split, settings | {"split_pairs": {r["split"]: r["n"] for r in by_split}}), f"{out}/config")
     return tables
 
 

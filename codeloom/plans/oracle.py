@@ -491,6 +491,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT code, positives, negatives, {weigh('positives')} AS positive_weight, {weigh('negatives')} AS negative_weight, true AS at_optimum FROM lq", "long", extra=labelled + ", " + sides)
     sql["multi_hot_labels"] = build("SELECT row_id, code, 1 AS label FROM long WHERE code <> 'A1'", "long")
     # projection
+    sql["projection_index"] = build(
+        "SELECT target, n, 0::DOUBLE AS mean_x, 0::DOUBLE AS mean_y, 0::DOUBLE AS covariance, true AS ordered, (SELECT round(sum(v), 5) FROM (SELECT var_pop(v) AS v FROM unit GROUP BY i)) AS total, true AS within "
+        "FROM (SELECT 'examples' AS target, count(*) AS n FROM vecs UNION ALL SELECT 'codes', count(DISTINCT code) FROM vecs UNION ALL SELECT 'parents', count(DISTINCT parent_code) FROM vecs)", "unit", "vecs")
     sql["minmax_scaled"] = f"SELECT doc_id, n_chars, {r6('960::DOUBLE + (n_chars - min(n_chars) OVER ()) * (-920)::DOUBLE / (max(n_chars) OVER () - min(n_chars) OVER ())')} AS y FROM documents"
     sql["projection_sample"] = build("SELECT row_id, code FROM vecs ORDER BY md5('42|' || row_id) LIMIT 300", "vecs")
     sql["centroid_points"] = build(
@@ -540,6 +543,18 @@ def oracle_sql() -> dict[str, str]:
         extra=SCORER_ROWS + f", ms AS (SELECT row_id, code, CASE WHEN answer = '' THEN 0 ELSE {STUB} END AS score FROM srow CROSS JOIN cb), mr AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, code) AS rn FROM ms), " + frame("mr", "; ", "false"))
     sql["incremental_scored"] = build(f"SELECT row_id, code, CASE WHEN text = '' THEN 0 ELSE {STUB} END AS score FROM (SELECT doc_id AS row_id, {strip('text')} AS text FROM documents) CROSS JOIN cb", "cb")
     sql["source_roundtrip"] = build(f"SELECT row_id, context, raw_codes, {strip('answer')} AS answer FROM resp", "resp")
+    sql["source_one_file"] = build(f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, row_id AS row_key, context, raw_codes, {strip('answer')} AS answer FROM resp", "resp")
+    sql["codebook_file"] = "SELECT 'R' || r_regionkey || 'N' || n_nationkey AS code, n_name AS name, 'R' || r_regionkey AS parent_code, CASE WHEN r_regionkey > 0 THEN r_name ELSE '' END AS parent_name FROM nation JOIN region ON n_regionkey = r_regionkey"
+    sql["report_files"] = sql["evaluate_job"]
+    of_train = ", ".join(BLOCKS[n][0] for n in ("wterms", "cterms", "vocab")).replace("doc_id AS row_id", "row_id").replace("lower(text)", "lower(answer)").replace("FROM documents", "FROM wide JOIN assigned USING (row_id) WHERE split = 'train'")
+    # The words of the character n-grams have a condition of their own.
+    of_train = of_train.replace("WHERE split = 'train') WHERE w <> ''", "WHERE split = 'train') AS train WHERE w <> ''")
+    sql["text_model_job"] = build(
+        "SELECT split || '_rows' AS fact, count(*) AS n FROM assigned GROUP BY split UNION ALL SELECT 'n_classes', count(DISTINCT code) FROM long UNION ALL SELECT 'n_features', count(*) FROM vocab UNION ALL SELECT 'rows_read', count(*) FROM resp",
+        "long", "strat", extra=SPLIT + ", " + of_train)
+    sql["index_job"] = build(
+        "SELECT count(*) AS n_examples, count(DISTINCT code) AS n_subcategory_centroids, count(DISTINCT parent_code) AS n_parent_centroids, 256::BIGINT AS embedding_dim FROM long JOIN assigned USING (row_id) JOIN cb USING (code) WHERE split = 'train'",
+        "long", "strat", "cb", extra=SPLIT)
     sql["row_identity"] = "SELECT count(*) AS n_rows, count(*) AS n_distinct, 0::BIGINT AS first, count(*) - 1 AS last, count(*) + 1 AS last_source_row FROM events"
     sql["store_roundtrip"] = build(
         "SELECT row_id, split, split AS assigned, CASE WHEN len(ps) = 0 THEN 'UNKNOWN' ELSE array_to_string(list_transform(ps, lambda p: p.code), ', ') END AS codes, array_to_string(list_transform(ps, lambda p: CAST(p.s AS VARCHAR)), ', ') AS sentiments, CASE WHEN len(ps) = 0 THEN 'UNKNOWN' ELSE array_to_string(list_transform(ps, lambda p: p.code || ':' || p.s), ', ') END AS code_sentiments FROM ann JOIN assigned USING (row_id)",

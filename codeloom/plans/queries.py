@@ -635,6 +635,22 @@ def projection_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table, 4)
 
 
+@query
+def projection_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of every projection of an index: centred, uncorrelated, in order of variance; and the variance of the vectors."""
+    index, parts = _index(spark, sf_dir), None
+    for target in ("examples", "codes", "parents"):
+        table = projection.project_index(index, target, sample_size=None)
+        moments = table.agg(
+            F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.covar_pop("x", "y").alias("covariance"),
+            (F.var_pop("x") >= F.var_pop("y")).alias("ordered"), (F.var_pop("x") + F.var_pop("y")).alias("kept"),
+        ).select(F.lit(target).alias("target"), "*")
+        parts = moments if parts is None else parts.unionByName(moments)
+    whole = index.examples.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).agg(F.sum("v").alias("total"))
+    checked = parts.withColumn("total", whole.scalar()).withColumn("within", (F.col("target") != "examples") | (F.col("kept") <= F.col("total")))
+    return _rounded(checked.drop("kept"), 5)
+
+
 @query
 def minmax_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -841,6 +857,59 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def source_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells from one CSV file, which is read in several splits, with the positions of its rows."""
+    rows = views.responses(spark, sf_dir).select(F.col("row_id").cast("string").alias("row_key"), "context", "raw_codes", F.col("answer").alias("cell"))
+    path = tables.write_table(rows.coalesce(1).sortWithinPartitions(F.col("row_key").cast("bigint")), fresh_path(spark, "source") + ".csv")
+    back = tables.with_row_id(tables.read_table(spark, path))
+    return back.select("row_id", F.col("row_key").cast("bigint").alias("row_key"), "context", "raw_codes", tx.clean_text(F.col("cell")).alias("answer"))
+
+
+@query
+def codebook_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations under their regions as a codebook, written as a file and read back."""
+    nation, region = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region")
+    codes = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat(F.lit("R"), F.col("r_regionkey").cast("string"), F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"),
+        F.col("n_name").alias(" name "), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("parent_code"),
+        F.when(F.col("r_regionkey") > 0, F.col("r_name")).alias("parent_name"),
+    )
+    return tables.read_codebook(spark, tables.write_table(codes, fresh_path(spark, "codebook") + ".csv"))
+
+
+@query
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report per code as an evaluation writes it beside its predictions, read from the file."""
+    columns = ann.annotation_columns(ann.parse_replies(views.replies(spark, sf_dir), views.CODES, 4), views.codebook(spark))
+    saved = views.replies(spark, sf_dir).select("row_id", "gold").join(columns, "row_id")
+    path = tables.write_table(saved, fresh_path(spark, "saved"), "parquet")
+    out = fresh_path(spark, "reports")
+    jobs.evaluate_saved_job(spark, path, views.codebook(spark), "gold", out=out)
+    types = "code string, support bigint, precision double, recall double, f1 double, gold_code_sentiment_accuracy double, detected_gold_sentiment_accuracy double"
+    return _rounded(spark.read.schema(types).csv(stores.report_paths(out)["per_class"], header=True))
+
+
+@query
+def text_model_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the configuration of a training run says of its splits, classes and features."""
+    out = fresh_path(spark, "text-model")
+    jobs.train_text_model(views.responses(spark, sf_dir), views.codebook(spark), "answer", "raw_codes", out=out)
+    config = stores.read_config(spark, f"{out}/config")
+    facts = {f"{name}_rows": n for name, n in config["split_rows"].items()} | {"n_classes": config["n_classes"], "n_features": config["n_features"], "rows_read": config["data_report"]["rows_read"]}
+    return spark.createDataFrame([(name, int(n)) for name, n in facts.items()], "fact string, n bigint")
+
+
+@query
+def index_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of an index of the train split, from its store."""
+    out = fresh_path(spark, "index-job")
+    jobs.build_index_job(views.responses(spark, sf_dir), views.codebook(spark), "answer", "raw_codes", out=out)
+    loaded = stores.load_index(spark, f"{out}/index")
+    names = ("n_examples", "n_subcategory_centroids", "n_parent_centroids", "embedding_dim")
+    return spark.createDataFrame([tuple(int(loaded.config[name]) for name in names)], ", ".join(f"{name} bigint" for name in names))
+
+
 # ---- flagship --------------------------------------------------------------------------------
 
 

@@ -45,7 +45,7 @@ def test_index_job(spark, small_codebook, tmp_path):
 
 
 def test_pair_model_and_annotation(spark, small_codebook):
-    model = lambda texts, descriptions: np.array([[0.1, 0.1, 0.7, 0.1] if "Salary" in d else [0.9, 0.05, 0.03, 0.02] for d in descriptions])
+    model = lambda texts, descriptions: np.array([[0.25, 0.05, 0.4, 0.3] if "Salary" in d else [0.8, 0.1, 0.06, 0.04] for d in descriptions])
     df = responses(spark).limit(2)
     out = jobs.classify_with_pair_model(df, model, small_codebook, "answer").collect()
     assert {r["predicted_code_sentiments"] for r in out} == {"A1:1"}
@@ -56,7 +56,7 @@ def test_pair_model_and_annotation(spark, small_codebook):
 
 
 def test_pair_model_against_gold(spark, small_codebook, tmp_path):
-    model = lambda texts, descriptions: np.array([[0.1, 0.1, 0.7, 0.1] if "Salary" in d else [0.9, 0.05, 0.03, 0.02] for d in descriptions])
+    model = lambda texts, descriptions: np.array([[0.25, 0.05, 0.4, 0.3] if "Salary" in d else [0.8, 0.1, 0.06, 0.04] for d in descriptions])
     rows = [(0, "wage", "A1", "1"), (1, "pay", "A1", "2"), (2, "desk", "A1, B1", "1, 0"), (3, "odd", "A1, A1", "1, 2"), (4, "none", None, None)]
     df = spark.createDataFrame(rows, "row_id bigint, answer string, gold string, feeling string")
     out = str(tmp_path / "p.parquet")

@@ -47,8 +47,8 @@ def test_required_columns_and_rows(spark):
 
 
 def wide(spark, n=40, partitions=3):
-    sets = [["A1"], ["A2"], ["B1"], ["A1", "A2"]]
-    rows = [(i, f"text {i}", f"text {i}", "", sets[i % 4]) for i in range(n)]
+    sets = [["B1", "A2"], ["A1"], ["A2"], ["A1", "B1"], ["B1"]]
+    rows = [(i, f"answer no. {i}", f"answer no. {i}", "", sets[i % 5]) for i in range(n)]
     df = spark.createDataFrame(rows, "row_id bigint, text string, answer string, context string, codes array<string>")
     return df.withColumn("stratum", splits.stratum_of_codes(F.col("codes"))).repartition(partitions)
 
@@ -137,3 +137,15 @@ def test_stores(spark, tmp_path):
     assert got == [("1", 'a\nb "q"'), ("2", None)]
     with pytest.raises(ValueError):
         tables.read_table(spark, "x.xlsx")
+
+
+def test_a_second_run_replaces_its_columns(spark):
+    source = spark.createDataFrame([(0, "a", "old"), (1, "b", "old")], "row_id bigint, answer string, predicted_codes string")
+    new = spark.createDataFrame([(0, "A1")], "row_id bigint, predicted_codes string")
+    got = rs.attach(source, new)
+    assert got.columns == ["row_id", "answer", "predicted_codes"] and {r.row_id: r.predicted_codes for r in got.collect()} == {0: "A1", 1: None}
+
+
+def test_rows_with_known_codes(spark, small_codebook):
+    df = spark.createDataFrame([(0, ["A1"]), (1, ["A1", "Z"]), (2, []), (3, ["B1", "A2"])], "row_id bigint, codes array<string>")
+    assert sorted(r.row_id for r in rs.rows_with_known_codes(df, small_codebook).collect()) == [0, 2, 3]

@@ -9,7 +9,7 @@ import __spark_entry__ as entry_file
 from codeloom.plans import oracle
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ["events", "documents", "embeddings", "benchmark", "labels", "conversations", "part"]
+TABLES = ["nation", "region", "events", "documents", "embeddings", "benchmark", "labels", "conversations", "part"]
 SQL = oracle.oracle_sql()
 
 
