@@ -286,3 +286,36 @@ def test_windows_and_groups_do_not_change_segmentations(monkeypatch):
     again, ends = pieces.encode_texts(model, texts, keys, window=16)
     assert again.tolist() == ids.tolist() and ends.tolist() == bounds.tolist()
     assert [b.decode() for b in pieces.decode_ids(model, ids, bounds)] == texts
+
+
+# Substring dedup: regions and near repeats
+
+
+def test_regions_of_many_interleaved_diagonals():
+    from codeloom.llm.substring_dedup import candidate_regions
+
+    window = lambda lo, hi, shift, function: {"lo": lo, "hi": hi, "shift": shift, "function": function}
+    others = [window(5 + i, 80 + i, 1000 * (i + 1), 2) for i in range(30)]
+    found = candidate_regions([window(0, 60, 0, 0), *others, window(40, 100, 3, 1)], 2, 46)
+    assert found == [(0, 100, 0, 103)]
+    assert candidate_regions([window(0, 60, 0, 0), *others], 2, 46) == []
+
+
+def test_recall_of_near_repeats_with_partial_hubs(spark):
+    """Pairs of passages of 90 words that differ in one; two early documents hold a part of each, so they are the hubs of many lists."""
+    from codeloom.llm import substring_dedup
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    pairs = 60
+    passages = [[word() for _ in range(90)] for _ in range(pairs)]
+    rows = [(n, " ".join(x for p in passages[n::2] for x in p[20:50])) for n in range(2)]
+    for n, passage in enumerate(passages):
+        changed = list(passage)
+        changed[60] = word()
+        rows += [(100 + 2 * n, " ".join([word() for _ in range(20)] + passage)), (101 + 2 * n, " ".join(changed + [word() for _ in range(15)]))]
+    rows += [(1000 + n, " ".join(word() for _ in range(120))) for n in range(40)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    whole = sum(got[100 + 2 * n].n_repeated >= 80 and got[101 + 2 * n].n_repeated >= 80 for n in range(pairs))
+    assert whole >= 0.9 * pairs
+    assert all(got[1000 + n].n_repeated == 0 for n in range(40))
