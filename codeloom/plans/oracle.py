@@ -471,6 +471,12 @@ def oracle_sql() -> dict[str, str]:
     sql["vocabulary"] = build("SELECT space, term, df, cf::BIGINT AS cf FROM vocab", "vocab")
     sql["tfidf_weights"] = build(
         "SELECT row_id, space, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id, space)), 5) + 0.0::DOUBLE AS weight FROM (SELECT t.row_id, t.space, t.term, (1 + ln(tf::DOUBLE)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS w FROM terms t JOIN vocab v USING (space, term))", "vocab")
+    sql["linear_scores_given"] = build(
+        "SELECT d.doc_id AS row_id, k.code, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE round(1 / (1 + exp(-(coalesce(m, 0) + (k.ord % 3 - 1) / 2.0::DOUBLE))), 4) END + 0.0::DOUBLE AS score "
+        "FROM documents d CROSS JOIN cb k LEFT JOIN lm ON lm.row_id = d.doc_id AND lm.code = k.code", "vocab", "cb",
+        extra="lx AS (SELECT *, row_number() OVER (ORDER BY space DESC, term) - 1 AS idx, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1 AS idf FROM vocab), "
+        "lf AS (SELECT row_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY row_id, space)) AS v FROM (SELECT t.row_id, t.space, idx, (1 + ln(tf::DOUBLE)) * idf AS w FROM terms t JOIN lx USING (space, term))), "
+        "lm AS (SELECT row_id, code, sum(v * ((idx * 7 + ord * 13) % 21 - 10) / 10.0::DOUBLE) AS m FROM lf CROSS JOIN cb GROUP BY row_id, code)")
     labelled = ", ".join(BLOCKS[n][0] for n in ("wterms", "cterms", "vocab")).replace("doc_id AS row_id", "row_id").replace("lower(text)", "lower(answer)").replace("FROM documents", "FROM wide")
     sql["model_summary"] = build(
         "SELECT count(*) AS n_features, count(*) FILTER (space = 'word') AS n_word_features, count(*) FILTER (space = 'char') AS n_char_features, (SELECT count(DISTINCT code) FROM long)::INT AS n_classes FROM vocab",

@@ -611,6 +611,18 @@ def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(linear.score_texts(linear.cut_and_fit(rows), rows), 4)
 
 
+@query
+def linear_scores_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model whose weights follow from the numbers of terms and codes."""
+    texts = views.texts(spark, sf_dir)
+    vocab = materialize(ft.with_index(ft.vocabulary(ft.term_counts(texts)), F.lit(texts.count())), "vocab")
+    codes = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(i).alias("i")) for i, c in enumerate(views.CODES)])
+    weights = vocab.select("idx", F.explode(codes).alias("c")).select("c.code", "idx", (((F.col("idx") * 7 + F.col("c.i") * 13) % 21 - 10) / 10.0).alias("weight"))
+    bias = spark.createDataFrame([(c, (i % 3 - 1) / 2.0) for i, c in enumerate(views.CODES)], "code string, bias double")
+    model = linear.TextModel(vocab, materialize(weights, "weights"), bias, sorted(views.CODES), vocab.count())
+    return _rounded(linear.score_texts(model, texts), 4)
+
+
 @query
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature and class counts of a fitted model that was stored and loaded."""
