@@ -29,7 +29,9 @@ CHAR_FEATURES = 150_000
 # A vocabulary of more bytes is not sent to the tasks; a task holds about ten times as much as a dictionary.
 MAX_SENT_BYTES = 32 * 1024 * 1024
 # A task that counts terms hands on what it has when it holds so many.
-MAX_LOCAL_TERMS = 500_000
+MAX_LOCAL_TERMS = 100_000
+# Entries of sparse rows that a task hands on at a time.
+BATCH_ENTRIES = 1 << 18
 
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
@@ -464,14 +466,20 @@ def sparse_rows(rows: DataFrame, vocab: DataFrame, sent: Broadcast[SentVocabular
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = TermTable.of(sent)
+
+        def handed_on(ids: pa.Array, part: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(i) for i, _ in part)], dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in zip(*part, strict=True)]
+            return pa.RecordBatch.from_arrays([ids, *lists], names=["row_id", "indices", "values"]).filter(pa.array(np.diff(ends) > 0))
+
         for batch in batches:
-            found = [table.row(text.as_py()) for text in batch.column("text")]
-            for low in range(0, len(found), 1000):
-                part = found[low : low + 1000]
-                ends = np.cumsum([0, *(len(i) for i, _ in part)], dtype=np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in zip(*part, strict=True)]
-                out = pa.RecordBatch.from_arrays([batch.column("row_id").slice(low, len(part)), *lists], names=["row_id", "indices", "values"])
-                yield out.filter(pa.array(np.diff(ends) > 0))
+            low, size, part = 0, 0, []
+            for n, text in enumerate(batch.column("text")):
+                part.append(table.row(text.as_py()))
+                size += len(part[-1][0])
+                if size >= BATCH_ENTRIES or n + 1 == batch.num_rows:
+                    yield handed_on(batch.column("row_id").slice(low, len(part)), part)
+                    low, size, part = n + 1, 0, []
 
     row_type = rows.schema["row_id"].dataType.simpleString()
     return lowered_texts(rows.select("row_id", "text")).mapInArrow(run, f"row_id {row_type}, indices array<int>, values array<double>")
