@@ -11,13 +11,14 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from typing import Any, NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codes import normalize_code, or_unknown, pair_text, parse_code_sentiments
 from ..functions.text import clean_text, combine_text, join_labels
-from ..settings import fresh_path, materialize
+from ..settings import fresh_path, release_shuffles
 from ..sources.ledger import REPLY_COLUMNS, Ledger
 from .codebook import assignable_codes, render_codebook
 from .decode import name_accepted, parent_rollup, sentiment_columns
@@ -116,8 +117,15 @@ def build_requests(df: DataFrame, shared: Instructions, text_col: str, context_c
 # dict with "content" and, where known, "prompt_tokens" and "completion_tokens".
 Client = Callable[..., dict[str, Any]]
 
-#: Requests of one slice of the ledger: what a broken run may have to ask again.
+#: Requests of one slice of the ledger: what a broken run may have to ask again. Of a stored slice a file has at most so many, and of
+#: these a task holds some at a time.
 SLICE_ROWS = 20_000
+FILE_ROWS = 2_000
+CHUNK_ROWS = 500
+_REPLY_TYPES = {
+    "raw_response": pa.string(), "llm_error": pa.string(), "attempts": pa.int32(), "latency_seconds": pa.float64(), "prompt_tokens": pa.int64(),
+    "completion_tokens": pa.int64(),
+}
 
 
 _FENCE = re.compile(r"^\s*```(?:json)?|```\s*$")
@@ -172,18 +180,20 @@ def fan_out(
     row_type = requests.schema["row_id"].dataType.simpleString()
     asked = requests.select("row_id", "request_key", "user_prompt")
     asked = asked.repartition(partitions, "row_id") if partitions else asked
-    names = ["row_id", "request_key", *[c.split()[0] for c in REPLY_COLUMNS.split(", ")]]
     schema = (shared.schema,) if structured_output else ()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = lambda user: _ask(client, (shared.system, user, *schema), max_retries, time.sleep)
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                ask = lambda user: _ask(client, (shared.system, user, *schema), max_retries, time.sleep)
-                replies = list(pool.map(ask, batch["user_prompt"]))
-                if replies:
-                    yield pd.DataFrame(replies, index=batch.index).assign(row_id=batch["row_id"], request_key=batch["request_key"])[names]
+                # Some prompts at a time: a batch of Spark has thousands.
+                for low in range(0, batch.num_rows, CHUNK_ROWS):
+                    some = batch.slice(low, CHUNK_ROWS)
+                    replies = list(pool.map(ask, some.column("user_prompt").to_pylist()))
+                    answered = [pa.array([r[name] for r in replies], kind) for name, kind in _REPLY_TYPES.items()]
+                    yield pa.RecordBatch.from_arrays([some.column("row_id"), some.column("request_key"), *answered], names=["row_id", "request_key", *_REPLY_TYPES])
 
-    return asked.mapInPandas(run, f"row_id {row_type}, request_key string, {REPLY_COLUMNS}")
+    return asked.mapInArrow(run, f"row_id {row_type}, request_key string, {REPLY_COLUMNS}")
 
 
 def ask_rest(
@@ -197,27 +207,30 @@ def ask_rest(
     """
     if slice_rows < 1:
         raise ValueError("slice_rows must be positive.")
-    todo = materialize(ledger.pending(requests.where("filled"), retry_failed).drop("filled"), "pending")
-    n_slices = -(-todo.count() // slice_rows)
+    spark, filled = requests.sparkSession, requests.where("filled").drop("filled")
+    n_slices = -(-filled.count() // slice_rows)
     if not n_slices:
         return 0
-    # Slices are dealt out by key and stored apart, so that each reads its own rows only.
-    numbered = todo.withColumn("slice", F.pmod(F.xxhash64("request_key", "row_id"), F.lit(n_slices)).cast("int"))
-    path = materialize_slices(numbered, n_slices)
-    run, done = ledger.next_run(), 0
-    for number in (r["slice"] for r in numbered.select("slice").distinct().sort("slice").toLocalIterator()):
-        part = todo.sparkSession.read.schema(todo.schema).parquet(f"{path}/slice={number}")
+    todo = ledger.pending(filled, retry_failed)
+    path = _write_slices(todo, n_slices, -(-slice_rows // FILE_ROWS))
+    stored = spark.read.schema(T.StructType([*todo.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
+    numbers = sorted(r["slice"] for r in stored.select("slice").distinct().collect())
+    run = ledger.next_run()
+    for done, number in enumerate(numbers, 1):
+        part = spark.read.schema(todo.schema).parquet(f"{path}/slice={number}")
         ledger.commit(fan_out(part, client, shared, **options), f"run-{run}-slice-{number}", run)
-        done += 1
         if on_slice:
-            on_slice(done, n_slices)
-    return done
+            on_slice(done, len(numbers))
+    return len(numbers)
 
 
-def materialize_slices(numbered: DataFrame, n_slices: int) -> str:
-    """Writes a table by its column ``slice`` and returns the folder."""
-    path = fresh_path(numbered.sparkSession, "slices")
-    numbered.repartition(min(n_slices, 1_000), "slice").write.partitionBy("slice").parquet(path)
+def _write_slices(todo: DataFrame, n_slices: int, files: int) -> str:
+    """Deals requests out to slices by key and writes each slice apart, in several files, so that its job reads its own rows only."""
+    path = fresh_path(todo.sparkSession, "slices")
+    numbered = todo.withColumn("slice", F.pmod(F.xxhash64("request_key", "row_id"), F.lit(n_slices)).cast("int"))
+    part = F.pmod(F.xxhash64("row_id"), F.lit(files))
+    numbered.repartition(min(n_slices * files, 2_000), "slice", part).write.partitionBy("slice").parquet(path)
+    release_shuffles(todo.sparkSession)
     return path
 
 

@@ -48,6 +48,8 @@ class Ledger:
 
     def pending(self, requests: DataFrame, retry_failed: bool = True) -> DataFrame:
         """The requests without a committed reply; failed ones count as not asked if they are to be retried."""
+        if not self.slices():
+            return requests
         known = self.replies()
         known = known.where("llm_error = ''") if retry_failed else known
         return requests.join(known.select("row_id", "request_key"), ["row_id", "request_key"], "left_anti")
