@@ -754,7 +754,8 @@ def annotate_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         if 2 * done >= n_slices:
             raise _Broken
 
-    rows, folder = views.responses(spark, sf_dir), fresh_path(spark, "ledger")
+    # Both runs read the rows several times.
+    rows, folder = materialize(views.responses(spark, sf_dir), "rows"), fresh_path(spark, "ledger")
     slice_rows = max(1, rows.count() // 4)
     run = partial(jobs.annotate, rows, views.codebook(spark), _echo_client, "answer", "context", ledger=folder, slice_rows=slice_rows)
     try:
