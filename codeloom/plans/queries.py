@@ -826,16 +826,17 @@ def classified_by_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def incremental_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents scored as a stream of files."""
-    schema = views.table(spark, sf_dir, "documents").schema
+    """Documents scored as a stream of files: the table is one file, or a folder of several."""
+    docs = views.table(spark, sf_dir, "documents")
 
     def scorer(docs: DataFrame) -> DataFrame:
         rows = docs.select(F.col("doc_id").alias("row_id"), tx.clean_text(F.col("text")).alias("text")).withColumn("answer", F.col("text"))
         return scorers.score_multilabel(rows, _stub_multilabel, views.CODES)
 
     out = fresh_path(spark, "stream")
-    score_stream(spark, sf_dir, f"{out}/scores", f"{out}/checkpoint", scorer, schema, "documents.parquet")
-    return spark.read.parquet(f"{out}/scores")
+    # A pattern, because a stream takes a plain path for a folder.
+    score_stream(spark, f"{sf_dir}/{{documents}}.parquet", f"{out}/scores", f"{out}/checkpoint", scorer, docs.schema, "*")
+    return spark.read.schema(scorer(docs).schema).parquet(f"{out}/scores")
 
 
 @query
