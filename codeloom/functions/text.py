@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 CONTEXT_LABEL = "Контекст: "
 ANSWER_LABEL = "Ответ: "
 
-_EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The Unicode blanks and the four separators: all that ``_BLANK_RUN`` matches. A trim looks at the ends of a text only, a pattern at all blanks.
+_EDGE_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -20,7 +21,7 @@ def _as_column(value: Column | str | None) -> Column:
 
 def clean_text(value: Column) -> Column:
     """Missing becomes the empty string; Unicode blanks are stripped at both ends."""
-    return F.coalesce(F.regexp_replace(value.cast("string"), _EDGE_BLANKS, ""), F.lit(""))
+    return F.coalesce(F.btrim(value.cast("string"), F.lit(_EDGE_BLANKS)), F.lit(""))
 
 
 def after_semicolon_prefix(value: Column, prefix: Column | str | None) -> Column:

@@ -198,17 +198,17 @@ def fan_out(
 
 def ask_rest(
     requests: DataFrame, client: Client, shared: Instructions, ledger: Ledger, slice_rows: int = SLICE_ROWS, retry_failed: bool = True,
-    on_slice: Callable[[int, int], None] | None = None, **options: Any,
+    on_slice: Callable[[int, int], None] | None = None, n_filled: int | None = None, **options: Any,
 ) -> int:
     """Asks the filled requests that the ledger does not hold, slice by slice; returns how many slices were asked.
 
     Each slice is committed before the next one begins, so a run that breaks asks again at most the slice it was in. ``on_slice`` is told
-    the number of slices done and of all slices; an exception of it ends the run after that slice.
+    the number of slices done and of all slices; an exception of it ends the run after that slice. ``n_filled``: the filled requests, if counted.
     """
     if slice_rows < 1:
         raise ValueError("slice_rows must be positive.")
     spark, filled = requests.sparkSession, requests.where("filled").drop("filled")
-    n_slices = -(-filled.count() // slice_rows)
+    n_slices = -(-(filled.count() if n_filled is None else n_filled) // slice_rows)
     if not n_slices:
         return 0
     todo = ledger.pending(filled, retry_failed)

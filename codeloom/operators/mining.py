@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,10 +18,18 @@ from ..settings import materialize
 from .hashing import digits_for, hash_rank, stratified_draw
 
 
+def text_digest(text: Column) -> Column:
+    """Hash of the cleaned text; null for a blank one."""
+    return F.md5(F.nullif(clean_text(text), F.lit("")))
+
+
 def digest_table(long: DataFrame) -> DataFrame:
-    """``(row_id, code, digest)`` of the non-blank texts, written once: every later step reads this."""
-    clean = clean_text(F.col("text"))
-    rows = long.select("row_id", "code", F.when(clean != "", F.md5(clean)).alias("digest"))
+    """``(row_id, code, digest)`` of the non-blank texts, written once: every later step reads this.
+
+    ``long`` may bring the ``digest`` of its texts, made before its rows were repeated for each code.
+    """
+    digest = F.col("digest") if "digest" in long.columns else text_digest(F.col("text"))
+    rows = long.select("row_id", "code", digest.alias("digest"))
     return materialize(rows.where(F.col("digest").isNotNull()), "digests")
 
 

@@ -18,7 +18,7 @@ from ..operators.codebook import assignable_codes, enrich, unknown_codes
 from ..operators.decode import ENCODER_RULES, LINEAR_RULES, PAIR_RULES, DecodeRules, pair_prediction_report, prediction_columns, prediction_report, rank_arrays, rank_pair_arrays
 from ..operators.index import EmbeddingIndex, Encoder, build_index, classify_by_index, encode
 from ..operators.linear import MAX_FIT_ENTRIES, MAX_FIT_ROWS, TextModel, cut_and_fit, model_summary, score_arrays, score_texts
-from ..operators.mining import class_sizes, contrastive_negatives, mining_tables, positive_pairs, triplets
+from ..operators.mining import class_sizes, contrastive_negatives, mining_tables, positive_pairs, text_digest, triplets
 from ..operators.pairs import build_pairs, class_weights, pair_distribution
 from ..operators.responses import attach, explode_codes, parse_responses, require_columns, require_rows, usable_rows
 from ..operators.scorers import MultilabelModel, PairModel, long_pairs, multilabel_arrays, pair_arrays, pair_codes
@@ -243,12 +243,14 @@ def prepare_training_tables(
     rows = df.withColumn("codes", F.transform("annotations", lambda a: a["code"])).withColumn(
         "stratum", stratum_of_annotations(F.col("annotations"))
     )
+    # The steps of the split read keys and labels several times; labels are parsed and texts cleaned once, for these files.
+    rows = materialize(rows.withColumn("digest", text_digest(F.col("text"))), "annotated-rows")
     split = ensure_train_coverage(split_train_val_test(rows, seed=seed))
     split = split.withColumn("sentiments", F.transform("annotations", lambda a: a["sentiment"]))
     split = materialize(ensure_train_coverage(split, "sentiments").drop("sentiments"), "split-annotated")
     train = split.where(F.col("split") == "train")
     pairs = build_pairs(split, codebook, negative_ratio, seed).join(split.select("row_id", "split"), "row_id")
-    long = explode_codes(train.select("row_id", "text", "codes"))
+    long = explode_codes(train.select("row_id", "text", "digest", "codes"))
     prepared = mining_tables(long)
     tables = {
         "pairs": pairs,
@@ -288,12 +290,14 @@ def annotate(
     requests = ann.build_requests(df, shared, text_col, context_col, prefix)
     kept = Ledger(spark, ledger or fresh_path(spark, "ledger"), df.schema["row_id"].dataType.simpleString())
     began = time.perf_counter()
+    # Keys without prompts: to count the requests and to find their replies, the prompts need not be made again.
+    keys = materialize(requests.select("row_id", "request_key", "filled"), "request-keys")
     ann.ask_rest(
-        requests, client, shared, kept, slice_rows, retry_failed, on_slice, max_retries=max_retries, partitions=partitions,
-        concurrency=concurrency, structured_output=structured_output,
+        requests, client, shared, kept, slice_rows, retry_failed, on_slice, keys.where("filled").count(), max_retries=max_retries,
+        partitions=partitions, concurrency=concurrency, structured_output=structured_output,
     )
     wall_seconds = wall_seconds or time.perf_counter() - began
-    replies = ann.collect_replies(requests, kept)
+    replies = ann.collect_replies(keys, kept)
     columns = ann.annotation_columns(ann.parse_replies(replies, codes, max_labels), codebook)
     target = out or fresh_path(spark, "annotated")
     result = attach(df, columns)

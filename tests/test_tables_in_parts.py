@@ -9,8 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as tx
 from codeloom.operators import features as ft
-from codeloom.plans import queries
+from codeloom.operators import mining
+from codeloom.plans import jobs, queries
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -84,3 +86,30 @@ def test_counts_of_parts_equal_the_columns(spark, monkeypatch, most, batch):
     assert {(r.space, r.term): (r.df, r.cf) for r in rows} == want and len(rows) == len(want)
     # Terms are not shuffled one by one.
     assert "Aggregate" not in ft.term_counts(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_cleaned_of_every_blank_that_the_pattern_names(spark):
+    codes = [c for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    cells = [f"{chr(c)}a{chr(c)}b{chr(c)}" for c in codes] + [" \u3000\n\x1f", "", None, "\n a\u00a0\r\n", "\x00 a \x00"]
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    pattern = F.coalesce(F.regexp_replace("cell", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
+    assert df.where(tx.clean_text(F.col("cell")) != pattern).count() == 0
+    assert df.where(F.length(tx.clean_text(F.col("cell"))) == 3).count() == 29
+
+
+def test_annotation_makes_each_prompt_once_for_its_slice(spark, small_codebook, monkeypatch):
+    seen = []
+    real = jobs.ann.collect_replies
+    monkeypatch.setattr(jobs.ann, "collect_replies", lambda requests, ledger: seen.append(requests.columns) or real(requests, ledger))
+    df = spark.createDataFrame([(1, "one"), (2, " \n"), (3, None)], "row_id bigint, answer string")
+    stored, _ = jobs.annotate(df, small_codebook, lambda system, user: {"content": '{"labels":[{"code":"A1","sentiment":1}]}'}, "answer")
+    assert {r.row_id: r.llm_error for r in stored.collect()} == {1: "", 2: "empty_text", 3: "empty_text"}
+    assert seen == [["row_id", "request_key", "filled"]]
+
+
+def test_digests_of_texts_are_taken_from_the_table(spark):
+    long = spark.createDataFrame([(1, "A1", " a "), (1, "B1", " a "), (2, "A1", " \u00a0"), (3, "A1", None)], "row_id bigint, code string, text string")
+    plain = {tuple(r) for r in mining.digest_table(long).collect()}
+    assert {r[:2] for r in plain} == {(1, "A1"), (1, "B1")}
+    brought = long.withColumn("digest", mining.text_digest(F.col("text"))).drop("text")
+    assert {tuple(r) for r in mining.digest_table(brought).collect()} == plain
