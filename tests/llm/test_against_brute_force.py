@@ -252,3 +252,60 @@ def test_exact_repeats_where_the_first_document_has_a_part_earlier(spark):
     got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
     spans = {r.doc_id: [(s.low, s.high) for s in r.spans] for r in got}
     assert all(any(lo <= 125 and hi >= 185 for lo, hi in spans[2 * case]) and spans[2 * case + 1] == [(30, 90)] for case in range(40))
+
+
+def test_near_repeats_between_the_ends_of_a_list(spark):
+    """The smallest and the largest id have a part of each passage; texts between them share all of it but for one word."""
+    rows, want = [], {}
+    for case in range(20):
+        base, shared = 10 * case, _fresh(f"s{case}x", 64)
+        changed = [*shared[:40], f"other{case}", *shared[41:]]
+        rows += [
+            (base, _fresh(f"a{case}x", 20) + shared[5:35] + _fresh(f"b{case}x", 30)),
+            (base + 1, _fresh(f"c{case}x", 30) + shared + _fresh(f"d{case}x", 20)),
+            (base + 2, _fresh(f"e{case}x", 45) + changed + _fresh(f"f{case}x", 10)),
+            (base + 3, _fresh(f"g{case}x", 20) + shared[5:35] + _fresh(f"h{case}x", 30)),
+        ]
+        want |= {base: ([], base, 0), base + 1: ([(30, 94)], base + 1, 1), base + 2: ([(45, 109)], base + 1, 1), base + 3: ([], base + 3, 0)}
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: ([(s.low, s.high) for s in r.spans], r.class_id, r.n_links) for r in got} == want
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_links_of_near_copies_and_long_documents(spark, most):
+    """Copies count as links; a document of many blocks is compared where its passages are; lists are divided where they are long."""
+    base = _fresh("p", 120)
+    near = [[*base[: 30 + n], f"new{n}", *base[31 + n :]] for n in range(5)]
+    long = _fresh("q", 2000) + base + _fresh("r", 2500) + _fresh("s", 100) + _fresh("t", 10)
+    texts = [base, base, *near, long, _fresh("u", 60) + long[4620:4720] + _fresh("v", 5)]
+    rows = [(n, " ".join(w)) for n, w in enumerate(texts)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), max_list=most).collect()}
+    spans = {n: [(s.low, s.high) for s in r.spans] for n, r in got.items()}
+    assert spans == {**{n: [(0, 120)] for n in range(7)}, 7: [(2000, 2120), (4620, 4720)], 8: [(60, 160)]}
+    assert {r.class_id for r in got.values()} == {0}
+    if most == 64:
+        assert [got[n].n_links for n in range(9)] == [7] * 7 + [8, 1]
+
+
+def test_equal_ranges_split_at_the_same_place():
+    """Values that repeat: a range has its minimum at the same place whatever stands around it."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 3, 40).astype(np.uint64)
+    for size in (0, 700):
+        before, after = (rng.integers(0, 3, size + n).astype(np.uint64) for n in (9, 30))
+        places = set()
+        for left, right in ((0, 0), (len(before), len(after))):
+            values = np.concatenate([before[:left], shared, after[:right]])
+            holding = [w for w in substring_dedup.compact_windows(values, 20) if w[1] <= left <= w[0] < left + 40 <= w[2]]
+            places |= {c - left for c, _, _ in holding}
+            assert len(holding) == 1
+        assert len(places) == 1
+
+
+def test_shortest_seed_of_a_near_repeat():
+    assert substring_dedup.seed_length(50, 5, 80) == 20 and substring_dedup.seed_length(50, 5, 100) == 46
+    grams = np.arange(1000, dtype=np.uint64)
+    for c in range(40, 60):
+        a = substring_dedup.marks_around(grams, np.array([c]), np.array([40]), np.array([60]), 20)[0]
+        b = substring_dedup.marks_around(grams, np.array([c]), np.array([0]), np.array([100]), 20)[0]
+        assert any((a >> 12 * n) & 4095 and (a >> 12 * n) & 4095 == (b >> 12 * n) & 4095 for n in range(5))
