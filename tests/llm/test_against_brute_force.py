@@ -309,3 +309,12 @@ def test_shortest_seed_of_a_near_repeat():
         a = substring_dedup.marks_around(grams, np.array([c]), np.array([40]), np.array([60]), 20)[0]
         b = substring_dedup.marks_around(grams, np.array([c]), np.array([0]), np.array([100]), 20)[0]
         assert any((a >> 12 * n) & 4095 and (a >> 12 * n) & 4095 == (b >> 12 * n) & 4095 for n in range(5))
+
+
+def test_a_passage_goes_on_without_its_first_run():
+    """All three runs together are below the threshold; the last is too short alone, and long enough with the second."""
+    first, second, third = (W.mix(np.arange(low, low + n, dtype=np.uint64)) for low, n in ((100, 20), (200, 44), (300, 45)))
+    new = lambda low: W.mix(np.arange(low, low + 4, dtype=np.uint64))
+    own, other = np.concatenate([first, new(400), second, new(500), third]), np.concatenate([first, second, new(600), third])
+    assert substring_dedup.verified_spans(own, other) == [(0, 117)]
+    assert substring_dedup.verified_spans(own[24:], other) == [(0, 93)]
