@@ -1,5 +1,7 @@
 """Operators without SQL against plain Python, and the registered queries against their SQL."""
 
+import contextlib
+import io
 import math
 import random
 import re
@@ -318,3 +320,22 @@ def test_a_passage_goes_on_without_its_first_run():
     own, other = np.concatenate([first, new(400), second, new(500), third]), np.concatenate([first, second, new(600), third])
     assert substring_dedup.verified_spans(own, other) == [(0, 117)]
     assert substring_dedup.verified_spans(own[24:], other) == [(0, 93)]
+
+
+def test_texts_are_looked_up_in_one_way_at_any_size(spark, monkeypatch):
+    """No step sends what it wants to all tasks by a count of its own, and the rows of a text are counted once."""
+    plans, write = {}, substring_dedup.materialize
+
+    def kept(df, label):
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            df.explain(True)
+        plans[label] = said.getvalue()
+        return write(df, label)
+
+    monkeypatch.setattr(substring_dedup, "materialize", kept)
+    shared = _fresh("s", 60)
+    rows = spark.createDataFrame([(i, " ".join(_fresh(f"a{i}x", 20) + shared)) for i in range(3)], "doc_id bigint, text string")
+    assert [(s.low, s.high) for r in substring_dedup.repeated_passages(rows).collect() for s in r.spans] == [(20, 80)] * 3
+    assert {"ranges", "passages", "repeats"} <= set(plans)
+    assert not any("strategy=broadcast" in plan for plan in plans.values())
+    assert [label for label, plan in plans.items() if "count(distinct" in plan] == ["text-owners"]
