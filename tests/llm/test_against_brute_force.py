@@ -339,3 +339,26 @@ def test_texts_are_looked_up_in_one_way_at_any_size(spark, monkeypatch):
     assert {"ranges", "passages", "repeats"} <= set(plans)
     assert not any("strategy=broadcast" in plan for plan in plans.values())
     assert [label for label, plan in plans.items() if "count(distinct" in plan] == ["text-owners"]
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """Each scan and each stage of a plan costs the driver memory, and those that may run at once cost it together."""
+    plans, write = {}, substring_dedup.materialize
+
+    def scans(df):
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            df.explain()
+        return said.getvalue().count("FileScan")
+
+    def kept(df, label):
+        plans[label] = max(scans(df), plans.get(label, 0))
+        return write(df, label)
+
+    monkeypatch.setattr(substring_dedup, "materialize", kept)
+    monkeypatch.setattr("codeloom.llm.components.materialize", kept)
+    shared = _fresh("s", 60)
+    rows = spark.createDataFrame([(i, " ".join(_fresh(f"a{i}x", 20) + shared)) for i in range(5)], "doc_id bigint, text string")
+    result = substring_dedup.repeated_passages(rows)
+    plans["result"] = scans(result)
+    assert [(s.low, s.high) for r in result.collect() for s in r.spans] == [(20, 80)] * 5
+    assert {"regions", "repeats", "links"} <= set(plans) and max(plans.values()) <= 10, plans
