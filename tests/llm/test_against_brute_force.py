@@ -289,6 +289,19 @@ def test_links_of_near_copies_and_long_documents(spark, most):
         assert [got[n].n_links for n in range(9)] == [7] * 7 + [8, 1]
 
 
+@pytest.mark.parametrize("block", [512, 9])
+def test_near_repeats_inside_a_long_list(spark, monkeypatch, block):
+    """Eighty texts have a line of 26 words; some pairs among them go on alike after a changed word, in one block or in several."""
+    monkeypatch.setattr(substring_dedup, "PAIR_BLOCK", block)
+    line, rows, want = _fresh("line", 26), [], {}
+    for n in range(80):
+        more = [f"changed{n}", *_fresh(f"p{n // 2}x", 40)] if n % 10 < 2 else _fresh(f"o{n}x", 41)
+        rows.append((n, " ".join(_fresh(f"a{n}x", n % 7) + line + more + _fresh(f"z{n}x", 15))))
+        want[n] = ([(n % 7, n % 7 + 67)], n // 2 * 2, 1) if n % 10 < 2 else ([], n, 0)
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: ([(s.low, s.high) for s in r.spans], r.class_id, r.n_links) for r in got} == want
+
+
 def test_equal_ranges_split_at_the_same_place():
     """Values that repeat: a range has its minimum at the same place whatever stands around it."""
     rng = np.random.default_rng(4)
